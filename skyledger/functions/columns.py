@@ -69,7 +69,13 @@ def glob_matches(pattern: Column, value: Column) -> Column:
 
 
 def any_glob_matches(patterns: Column, value: Column) -> Column:
-    return F.exists(patterns, lambda p: (p == "*") | glob_matches(p, value))
+    return F.exists(patterns, lambda p: one_glob_matches(p, value))
+
+
+def one_glob_matches(pattern: Column, value: Column) -> Column:
+    """Glob test that only pays for LIKE where the pattern has an inner wildcard."""
+    literal = ~(F.contains(pattern, F.lit("*")) | F.contains(pattern, F.lit("?")))
+    return (F.when(pattern == "*", True).when(literal, pattern == value).otherwise(glob_matches(pattern, value)))
 
 
 def literal_prefix(pattern: Column) -> Column:

@@ -96,14 +96,15 @@ def with_running_sum(df: DataFrame, keys: list[str], delta: Column, name: str, o
             .drop("_near", "_far", SLICE))
 
 
-def with_global_number(df: DataFrame, us: str, order: list, name: str, width: int = DEFAULT_WIDTH) -> DataFrame:
-    """Number all rows 1..n by ``us`` (nulls last) then ``order`` without a single-partition sort.
+def with_global_number(df: DataFrame, us: str, order: list, name: str, keys: list[str] | None = None,
+                       width: int = DEFAULT_WIDTH) -> DataFrame:
+    """Number all rows (of each key, where keys are given) 1..n by ``us`` (nulls last) then ``order`` without a single-partition sort.
 
     Only the per-slice counts, bounded by time span / width, meet in one place.
     """
     last = F.lit((1 << 62))
     src = df.withColumn(SLICE, F.coalesce(slice_of(F.col(us), width), last)).withColumn("_all", F.lit(0))
-    out = carry_scan(src, ["_all"], [F.asc_nulls_last(us), *order],
+    out = carry_scan(src, keys or ["_all"], [F.asc_nulls_last(us), *order],
                      local={"_near": lambda w: F.row_number().over(w)},
                      summary={"_edge": F.count("*")},
                      carry={"_far": lambda w: F.sum("_edge").over(w.rowsBetween(Window.unboundedPreceding, -1))})

@@ -162,8 +162,7 @@ def canonical_params(params: Column, event_source: Column, bytes_transferred: Co
     # a separator is a comma or colon outside string literals
     spaced = F.regexp_replace(body, r'("(?:[^"\\]|\\.)*")|([,:])', "$1$2 ")
     spaced = F.regexp_replace(spaced, r'("(?:[^"\\]|\\.)*") ', "$1")
-    spaced = F.regexp_replace(spaced, r'("(?:[^"\\]|\\.)*"),(?! )', "$1, ")
-    inner = F.expr("substring(_x, 2, length(_x) - 2)") if False else F.substring(spaced, F.lit(2), F.length(spaced) - 2)
+    inner = F.substring(spaced, F.lit(2), F.length(spaced) - 2)
     return F.concat(F.lit("{"), F.when(F.length(inner) > 0, F.concat(inner, F.lit(", "))).otherwise(""), extra, F.lit("}"))
 
 

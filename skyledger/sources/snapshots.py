@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skyledger.functions import fixed
 from skyledger.functions.columns import json_field, json_list
 from skyledger.functions.sliced import first_by
+from skyledger.session import cut_lineage
 
 
 def sensitivity(tags: Column) -> Column:
@@ -123,7 +124,9 @@ def trust_names(principal_json: Column, kind: str) -> Column:
 
 
 def read_authorization(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return authorization_tables(spark.read.schema(SNAPSHOT).option("multiLine", True).json(path))
+    """Load a snapshot once into written permission tables, so later joins never parse JSON again."""
+    parsed = authorization_tables(spark.read.schema(SNAPSHOT).option("multiLine", True).json(path))
+    return {name: cut_lineage(table) for name, table in parsed.items()}
 
 
 def authorization_tables(snapshot: DataFrame) -> dict[str, DataFrame]:
