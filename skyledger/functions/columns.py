@@ -50,9 +50,7 @@ def json_field(doc: Column, name: str) -> Column:
 
 def json_list(text: Column) -> Column:
     """A JSON value that may be a scalar or an array, as an array of strings; null gives an empty array."""
-    return (F.when(text.isNull(), F.array().cast("array<string>"))
-            .when(F.ltrim(text).startswith("["), F.from_json(text, "array<string>"))
-            .otherwise(F.array(text)))
+    return F.coalesce(F.from_json(text, "array<string>"), F.array_compact(F.array(text)))
 
 
 def glob_to_like(pattern: Column) -> Column:

@@ -239,4 +239,5 @@ API_VERBS = ["Get", "Put", "List", "Create", "Delete", "Update", "Assume", "Stop
 DIRECTIVE_VERBS = ["run", "execute", "delete", "disable", "enable", "revoke", "rotate", "terminate", "block",
                    "isolate", "attach", "detach", "create", "update", "put", "remove", "stop", "start", "assume",
                    "modify", "set", "add", "copy", "invoke", "remediate"]
-SENTENCE_PATTERN = r"[^\n.!?]+(?:[.!?](?=\s|$)|$)"
+# a sentence starts a segment; anchoring it there keeps the search linear on long lines
+SENTENCE_PATTERN = r"(?<![^\n.!?])[^\n.!?]++(?:[.!?](?=\s|$)|$)"

@@ -12,6 +12,7 @@ from skyledger.functions import fixed
 from skyledger.functions.columns import HOUR, MINUTE, blank_to_null, is_read_action
 from skyledger.functions.sliced import slice_of, with_latest, with_next, with_previous, with_running_sum
 from skyledger.operators.rules import ANCHOR, detection_columns
+from skyledger.session import cut_lineage
 
 FACETS = {"region": "region", "country": "geo", "asn": "asn", "src_ip": "src_ip", "action": "event"}
 
@@ -109,6 +110,7 @@ def enumeration_bursts(events: DataFrame, window_minutes: int = 5, distinct_thre
     calls = with_next(calls, name, [], "next")
     calls = (calls.withColumn("starts", F.coalesce(F.col("us") - F.col("prev.us") > window, F.lit(True)))
              .withColumn("ends", F.coalesce(F.col("next.us") - F.col("us") > window, F.lit(True))).drop("prev", "next"))
+    calls = cut_lineage(calls)  # read three times below
     # the end of an interval is inclusive: at equal times reads (kind 0) come before ends (kind 1)
     ends = calls.filter("ends").select(*who, (F.col("us") + window).alias("us"), F.lit(1).alias("kind"), "seq",
                                        F.lit(-1).alias("delta"))
@@ -116,7 +118,7 @@ def enumeration_bursts(events: DataFrame, window_minutes: int = 5, distinct_thre
     counted = with_running_sum(ticks.unionByName(ends), who, F.col("delta"), "distinct_names", ["us", "kind", "seq"])
     at_reads = counted.filter(F.col("kind") == 0).withColumn("hit", F.col("distinct_names") >= distinct_threshold)
     edges = with_previous(at_reads, who, ["hit"], "before")
-    fired = edges.filter(F.col("hit") & ~F.coalesce(F.col("before.hit"), F.lit(False))).select(*who, "us", "seq", "distinct_names")
+    fired = cut_lineage(edges.filter(F.col("hit") & ~F.coalesce(F.col("before.hit"), F.lit(False))).select(*who, "us", "seq", "distinct_names"))
 
     # evidence: intervals covering the firing time, met on window-wide slices. Intervals of one name are disjoint, so
     # a slice holds at most a few per name.

@@ -128,9 +128,9 @@ def reconstruct(cases: dict[str, DataFrame], events: DataFrame, edges: DataFrame
         rows = with_latest(rows.withColumn("_o", F.col("reads") & opens), run, F.col("_o"), [], "at", order=POSITION)
         rows = rows.withColumn("anchor", F.col("at.us")).drop("at", "_o", "_open")
 
-    own = F.struct(*[F.col(c).cast("bigint") for c in POSITION], F.lit(-1).cast("bigint").alias("anchor"))
+    own = F.struct(*[F.col(c).cast("bigint").alias(c) for c in POSITION], F.lit(-1).cast("bigint").alias("anchor"))
     folded = F.struct(F.col("head_us").alias("us"), F.col("head_trank").cast("bigint").alias("trank"),
-                      F.col("head_seq").cast("bigint").alias("seq"), F.col("anchor"))
+                      F.col("head_seq").cast("bigint").alias("seq"), F.col("anchor").cast("bigint").alias("anchor"))
     rows = rows.withColumn("step_key", F.when(F.col("reads"), folded).otherwise(own))
     first = F.struct(*[F.col(c) for c in POSITION], "actor", "principal", "event", "target", "attack_id")
     steps = (rows.groupBy(*case, "step_key").agg(F.min_by(first, F.struct(*POSITION)).alias("f"), F.count("*").alias("read_count"))

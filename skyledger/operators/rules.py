@@ -10,6 +10,7 @@ from operator import and_, or_
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from skyledger.functions import fixed
 from skyledger.functions.columns import arn_account, ipv4_to_long, json_field, json_list, lookup
@@ -70,7 +71,7 @@ def derived_indicators() -> dict[str, Column]:
 
 # ---------------------------------------------------------------- field matching
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _ip_in_network(ips: pd.Series, networks: pd.Series) -> pd.Series:
     """IPv6 (and mixed) membership; Spark has no built-in for it."""
     def hit(ip, network):
@@ -179,7 +180,7 @@ def condition_sql(condition: str, names: dict[str, str]) -> str:
         chosen = [n for n in names if m.group(2) == "them" or n.startswith(m.group(2).rstrip("*"))]
         return "(" + (" and " if m.group(1) == "all" else " or ").join(chosen or ["false"]) + ")"
 
-    text = re.sub(r"\b(all|1|any)\s+of\s+(\w+\*|them)\b", quantified, condition.strip())
+    text = re.sub(r"\b(all|1|any)\s+of\s+(\w+\*|them\b)", quantified, condition.strip())
     return re.sub(r"[\w.*]+", lambda m: m.group(0) if m.group(0) in ("and", "or", "not") else names.get(m.group(0), "false"), text)
 
 
