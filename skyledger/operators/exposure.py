@@ -60,13 +60,15 @@ def policy_is_public(policy: Column) -> Column:
 
 
 def weakens_public_access(event: Column, params: Column) -> Column:
-    """The four API calls that can open a bucket."""
-    config = F.coalesce(json_field(params, "PublicAccessBlockConfiguration"), json_field(params, "publicAccessBlockConfiguration"), params)
-    names = fixed.BLOCK_SETTINGS + [n[0].lower() + n[1:] for n in fixed.BLOCK_SETTINGS]
-    switched_off = reduce(or_, [F.coalesce(json_field(config, n) == "false", F.lit(False)) for n in names])
-    canned = F.lower(F.coalesce(*[blank_to_null(json_field(params, n)) for n in ("ACL", "acl", "x-amz-acl")]))
+    """The four API calls that can open a bucket. Only an explicit ``false`` counts as switched off."""
+    fields = F.from_json(params, "map<string, string>")
+    config = F.coalesce(F.try_element_at(fields, F.lit("PublicAccessBlockConfiguration")),
+                        F.try_element_at(fields, F.lit("publicAccessBlockConfiguration")), F.to_json(F.try_parse_json(params)))
+    names = "|".join(n[0] + n[1:] + "|" + n[0].lower() + n[1:] for n in fixed.BLOCK_SETTINGS)
+    switched_off = F.coalesce(config.rlike(f'"(?:{names})":false'), F.lit(False))
+    canned = F.lower(F.coalesce(*[blank_to_null(F.try_element_at(fields, F.lit(n))) for n in ("ACL", "acl", "x-amz-acl")]))
     acl = F.coalesce(canned.isin(fixed.PUBLIC_ACLS), F.lit(False)) | F.coalesce(params.rlike("AllUsers|AuthenticatedUsers"), F.lit(False))
-    policy = F.coalesce(json_field(params, "bucketPolicy"), json_field(params, "policy"))
+    policy = F.coalesce(F.try_element_at(fields, F.lit("bucketPolicy")), F.try_element_at(fields, F.lit("policy")))
     return (F.when(event == "DeletePublicAccessBlock", True).when(event == "PutPublicAccessBlock", switched_off)
             .when(event == "PutBucketAcl", acl).when(event == "PutBucketPolicy", policy_is_public(policy)).otherwise(False))
 

@@ -12,10 +12,11 @@ from skyledger.functions.columns import MINUTE, tactic_of
 from skyledger.operators import behaviour, cases, chain, context, escalation, exposure, graph, metrics, normalise, ranking, rules, views
 from skyledger.plans import oracle as o
 from skyledger.plans.oracle import BURST_MIN, BURST_N, TRAVEL_MIN, compose
-from skyledger.plans.shared_views import ACCOUNT, IAM
+from skyledger.plans.shared_views import ACCOUNT, IAM, SPLIT_US
 from skyledger.plans.workspace import Workspace, workspace
 from skyledger.session import cut_lineage
 from skyledger.sources import audit
+from skyledger.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -419,13 +420,14 @@ def g11(w):
     return graph.action_universe(w.permissions)
 
 
-o.CTES["p_group"] = (f"SELECT g.arn AS principal, a.action, r.arn AS resource FROM principal g, (SELECT unnest({fixed.SENSITIVE_ACTIONS}) AS action) a, (SELECT arn FROM resource) r WHERE ptype = 'group'")
+_ASKED = [*fixed.SENSITIVE_ACTIONS, "s3:ListBucket", "lambda:CreateFunction"]
+o.CTES["p_group"] = (f"SELECT g.arn AS principal, a.action, r.arn AS resource FROM principal g, (SELECT unnest({_ASKED}) AS action) a, (SELECT arn FROM resource) r WHERE ptype = 'group'")
 
 
 @register("G12_what_can_groups_do", f"SELECT principal, action, resource, conditional, matched FROM ({o.decisions('p_group')}) WHERE effect = 'ALLOW'")
 def g12(w):
     who = w.permissions["principal"].filter("ptype = 'group'").select(F.col("arn").alias("principal"))
-    acts = w.spark.createDataFrame([(a,) for a in fixed.SENSITIVE_ACTIONS], "action STRING")
+    acts = w.spark.createDataFrame([(a,) for a in _ASKED], "action STRING")
     res = w.permissions["resource"].select(F.col("arn").alias("resource"))
     d = graph.decide(graph.candidate_probes(who, acts, res, w.permissions, w.index), w.permissions, w.index)
     return d.filter("effect = 'ALLOW'").select("principal", "action", "resource", "conditional", "matched")
@@ -693,10 +695,11 @@ def t4(w):
 
 def _texts(w: Workspace) -> DataFrame:
     d = w.table("documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("case_id"), F.col("text").alias("summary"))
-    return d.unionByName(w.table("conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("case_id"), F.col("text").alias("summary")))
+    e = w.events.select("event_id", F.concat_ws(" ", "principal", "target", "event", "params").alias("summary")).withColumnRenamed("event_id", "case_id")
+    return d.unionByName(e).unionByName(w.table("conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("case_id"), F.col("text").alias("summary")))
 
 
-o.CTES["texts"] = "SELECT 'd' || doc_id AS case_id, text AS summary FROM documents UNION ALL SELECT 'c' || conv_id || '-' || turn, text FROM conversations"
+o.CTES["texts"] = "SELECT 'd' || doc_id AS case_id, text AS summary FROM documents UNION ALL SELECT 'c' || conv_id || '-' || turn, text FROM conversations UNION ALL SELECT event_id, concat_ws(' ', principal, target, event, params) FROM ev"
 
 
 @register("T5_text_entities", f"""
@@ -803,3 +806,65 @@ def m5(w):
     nodes = F.transform("hops", lambda h: h["dst"])
     d = metrics.compare_paths(p.select("principal", F.concat(F.array("principal"), nodes).alias("expected"), nodes.alias("actual")))
     return d.drop("expected", "actual")
+
+
+# ================================================================ streaming forms
+
+def _stream(w: Workspace) -> DataFrame:
+    """The event view over a file stream of the events table."""
+    base = jobs.read_events(w.spark, w.folder, w.table("events").schema, "events.parquet")
+    return w.event_view(base).withColumn("ts", F.timestamp_micros("us"))
+
+
+@register("ST1_stream_dedup", "SELECT source, event_id, us FROM ev")
+def st1(w):
+    s = _stream(w)
+    twice = s.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    return jobs.drain(jobs.bounded_dedup(twice.select("source", "event_id", "us", "ts"), "60 days"), "dedup").select("source", "event_id", "us")
+
+
+@register("ST2_stream_rules", f"SELECT {_DET} FROM ({o.signatures('ev')})")
+def st2(w):
+    return _flat(jobs.drain(jobs.stream_rules(_stream(w)), "rules"))
+
+
+@register("ST3_stream_new_geo", "SELECT DISTINCT principal, geo FROM cur c WHERE principal IN (SELECT principal FROM hist) AND NOT EXISTS (SELECT 1 FROM hist h WHERE h.principal = c.principal AND h.geo = c.geo)")
+def st3(w):
+    known = cut_lineage(behaviour.known_countries(w.history))
+    return jobs.drain(jobs.stream_new_geo(_stream(w).filter(F.col("us") >= int(SPLIT_US)), known), "geo").select("principal", "geo")
+
+
+@register("ST6_stream_sessions", f"""
+SELECT 'principal' AS kind, principal AS value, count(*) AS n, min(us) AS us_start, max(us) AS us_end FROM (SELECT *, sum(g) OVER (PARTITION BY principal ORDER BY us, det_id) AS sid FROM
+ (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY principal ORDER BY us, det_id) <= {60 * o.MIN} THEN 0 ELSE 1 END AS g FROM ({o.signatures('ev')}))) GROUP BY principal, sid
+UNION ALL SELECT 'src_ip', src_ip, count(*), min(us), max(us) FROM (SELECT *, sum(g) OVER (PARTITION BY src_ip ORDER BY us, det_id) AS sid FROM
+ (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY src_ip ORDER BY us, det_id) <= {60 * o.MIN} THEN 0 ELSE 1 END AS g FROM ({o.signatures('ev')}))) GROUP BY src_ip, sid""")
+def st6(w):
+    det = jobs.stream_rules(_stream(w)).withColumn("ts", F.timestamp_micros("us"))
+    return jobs.complete(jobs.stream_case_sessions(det), "sessions").select("kind", "value", "n", "us_start", "us_end")
+
+
+# rows newer than the final watermark (one hour behind the latest event) are still waiting in the state
+_MARK = "((SELECT max(us) FROM ev) // 1000 * 1000 - 3600000000)"
+
+
+@register("ST4_stream_impossible_travel", f"SELECT principal, event_id, us, message FROM ({o.travel('ev')}) WHERE us <= {_MARK}")
+def st4(w):
+    d = jobs.drain(jobs.stream_impossible_travel(_stream(w), TRAVEL_MIN), "travel")
+    return d.select("principal", "event_id", "us", F.concat("principal", F.lit(" moved "), "from_geo", F.lit(" -> "), "to_geo", F.lit(" in "), F.col("minutes").cast("string"), F.lit(" min")).alias("message"))
+
+
+@register("ST5_stream_enumeration_bursts", f"SELECT principal, event_id, us, names FROM ({o.bursts('ev')}) WHERE us <= {_MARK}")
+def st5(w):
+    return jobs.drain(jobs.stream_enumeration_bursts(_stream(w), BURST_MIN, BURST_N), "bursts").select("principal", "event_id", "us", "names")
+
+
+@register("ST7_stream_s3_daily", f"""
+WITH p AS ({_PROFILE.replace('round(', '(').replace(', 6)', ')').replace(', 3)', ')')}),
+d AS (SELECT principal, us // 86400000000 AS day, count(*) AS get_count, sum(bytes) AS bytes FROM ev WHERE event = 'GetObject' GROUP BY ALL)
+SELECT principal, day, get_count, bytes FROM d JOIN p USING (principal) WHERE (day + 1) * 86400000000 <= {_MARK}
+AND (get_count > greatest(daily_get_mean + 1.0 * daily_get_std, daily_get_mean + 1) OR bytes > greatest(daily_bytes_mean + 1.0 * daily_bytes_std, daily_bytes_mean + 50000000))""")
+def st7(w):
+    profile = cut_lineage(exposure.s3_profile(w.history))
+    d = jobs.drain(jobs.stream_s3_daily(_stream(w), profile, 1.0, 1, 50_000_000), "daily")
+    return d.select("principal", F.expr("unix_micros(day) div 86400000000").alias("day"), "get_count", "bytes")

@@ -43,10 +43,16 @@ class Workspace:
     # events ----------------------------------------------------------------
     @property
     def events(self) -> DataFrame:
+        return self.event_view(self.table("events"))
+
+    def event_view(self, base: DataFrame) -> DataFrame:
+        """Audit events from the events table, batch or stream."""
+        base.createOrReplaceTempView("events")
         none = F.lit(None).cast("string")
         session = F.when(F.col("issuer").isNotNull(), F.struct(
             F.col("issuer").alias("issuer_arn"), F.lit("Role").alias("issuer_type"), none.alias("session_name"), F.lit(None).cast("boolean").alias("mfa_authenticated")))
-        return self.view("ev").withColumn("session", session).withColumn("bytes_transferred", F.col("bytes"))
+        rows = self.spark.sql(shared_views.view_sql("ev", shared_views.SPARK))
+        return rows.withColumn("session", session).withColumn("bytes_transferred", F.col("bytes"))
 
     @property
     def history(self) -> DataFrame:
