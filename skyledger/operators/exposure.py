@@ -51,26 +51,35 @@ def service_action(event: Column, event_source: Column) -> Column:
 
 def policy_is_public(policy: Column) -> Column:
     """An allow statement for everyone. The document may be an object or URL-encoded text."""
-    doc = F.when(F.ltrim(policy).startswith("%"), F.try_url_decode(policy)).otherwise(policy)
+    doc = F.coalesce(F.when(F.startswith(policy, F.lit("%")), F.try_url_decode(policy)), policy)
+    parsed = F.transform(json_list(json_field(doc, "Statement")), lambda s: F.from_json(s, "Effect STRING, Principal STRING"))
 
     def public(s: Column) -> Column:
-        return (F.lower(json_field(s, "Effect")) == "allow") & F.array_contains(trust_names(json_field(s, "Principal"), "AWS"), "*")
+        named = json_list(json_field(s["Principal"], "AWS"))
+        return (F.lower(s["Effect"]) == "allow") & ((s["Principal"] == "*") | F.array_contains(named, "*"))
 
-    return F.coalesce(F.exists(json_list(json_field(doc, "Statement")), public), F.lit(False))
+    return F.coalesce(F.exists(parsed, public), F.lit(False))
 
 
-def weakens_public_access(event: Column, params: Column) -> Column:
-    """The four API calls that can open a bucket. Only an explicit ``false`` counts as switched off."""
-    fields = F.from_json(params, "map<string, string>")
-    config = F.coalesce(F.try_element_at(fields, F.lit("PublicAccessBlockConfiguration")),
-                        F.try_element_at(fields, F.lit("publicAccessBlockConfiguration")), F.to_json(F.try_parse_json(params)))
-    names = "|".join(n[0] + n[1:] + "|" + n[0].lower() + n[1:] for n in fixed.BLOCK_SETTINGS)
-    switched_off = F.coalesce(config.rlike(f'"(?:{names})":false'), F.lit(False))
-    canned = F.lower(F.coalesce(*[blank_to_null(F.try_element_at(fields, F.lit(n))) for n in ("ACL", "acl", "x-amz-acl")]))
-    acl = F.coalesce(canned.isin(fixed.PUBLIC_ACLS), F.lit(False)) | F.coalesce(params.rlike("AllUsers|AuthenticatedUsers"), F.lit(False))
-    policy = F.coalesce(F.try_element_at(fields, F.lit("bucketPolicy")), F.try_element_at(fields, F.lit("policy")))
-    return (F.when(event == "DeletePublicAccessBlock", True).when(event == "PutPublicAccessBlock", switched_off)
-            .when(event == "PutBucketAcl", acl).when(event == "PutBucketPolicy", policy_is_public(policy)).otherwise(False))
+def public_access_changes(events: DataFrame) -> DataFrame:
+    """Events that weaken public access through one of the four API calls.
+
+    The request is parsed once and staged, so each test reads a column instead of parsing again. Only an explicit
+    ``false`` counts as a setting switched off.
+    """
+    calls = ["DeletePublicAccessBlock", "PutPublicAccessBlock", "PutBucketAcl", "PutBucketPolicy"]
+    field = lambda n: F.try_element_at("_fields", F.lit(n))
+    names = "|".join(n + "|" + n[0].lower() + n[1:] for n in fixed.BLOCK_SETTINGS)
+    e = events.filter(F.col("event").isin(calls)).withColumn("_fields", F.from_json("params", "map<string, string>"))
+    e = e.withColumn("_config", F.coalesce(field("PublicAccessBlockConfiguration"), field("publicAccessBlockConfiguration"), F.to_json(F.try_parse_json("params"))))
+    e = e.withColumn("_acl", F.lower(F.coalesce(blank_to_null(field("ACL")), blank_to_null(field("acl")), blank_to_null(field("x-amz-acl")))))
+    e = e.withColumn("_policy", F.coalesce(field("bucketPolicy"), field("policy")))
+    weak = (F.when(F.col("event") == "DeletePublicAccessBlock", True)
+            .when(F.col("event") == "PutPublicAccessBlock", F.col("_config").rlike(f'"(?:{names})":false'))
+            .when(F.col("event") == "PutBucketAcl", F.coalesce(F.col("_acl").isin(fixed.PUBLIC_ACLS), F.lit(False)) | F.col("params").rlike("AllUsers|AuthenticatedUsers"))
+            .when(F.col("event") == "PutBucketPolicy", policy_is_public(F.col("_policy"))))
+    # a null test means the call did not weaken anything
+    return e.filter(F.coalesce(weak, F.lit(False))).drop("_fields", "_config", "_acl", "_policy")
 
 
 # ---------------------------------------------------------------- object store
@@ -128,8 +137,7 @@ def s3_exfiltration(events: DataFrame, profile: DataFrame, sigma: float = 3.0, m
 
 def sensitive_public_access(events: DataFrame, sensitive_buckets: DataFrame) -> DataFrame:
     """Public-access weakening on a sensitive bucket (``sensitive_buckets(bucket)``)."""
-    e = events.filter(F.col("event").isin("DeletePublicAccessBlock", "PutPublicAccessBlock", "PutBucketAcl", "PutBucketPolicy"))
-    e = e.withColumn("bucket", event_bucket(F.col("params"), F.col("target"))).filter(weakens_public_access(F.col("event"), F.col("params")))
+    e = public_access_changes(events).withColumn("bucket", event_bucket(F.col("params"), F.col("target")))
     e = e.join(sensitive_buckets.select("bucket").distinct(), "bucket", "left_semi")
     return e.select(*_scope(events), *detection_columns(
         F.lit("m8-s3-sensitive-public-access"), F.lit(0.9), F.concat("event", F.lit(" may expose sensitive bucket "), "bucket"),

@@ -36,18 +36,20 @@ def session_of(identity: Column) -> Column:
         text_flag(ctx["attributes"]["mfaAuthenticated"]).alias("mfa_authenticated"))).cast(SESSION)
 
 
-def string_param(params: Column, name: str) -> Column:
-    """Top-level request parameter, only when its JSON value is a string."""
-    v = F.try_variant_get(F.try_parse_json(params), f"$.{name}", "variant")
-    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+def first_string_param(params: Column, names: list[str]) -> Column:
+    """First of the named top-level request parameters whose JSON value is a string. Parses the text once."""
+    entries = F.map_entries(F.try_variant_get(F.try_parse_json(params), "$", "map<string,variant>"))
+    usable = F.filter(entries, lambda e: e["key"].isin(names) & (F.schema_of_variant(e["value"]) == "STRING"))
+    ranked = F.transform(usable, lambda e: F.struct(F.array_position(F.array(*map(F.lit, names)), e["key"]).alias("rank"),
+                                                    F.try_variant_get(e["value"], "$", "string").alias("text")))
+    return F.array_min(ranked)["text"]
 
 
 def target_of(resources: Column, params: Column) -> Column:
     """First non-empty resource ARN, else the first string among the known parameters."""
     arn = F.try_element_at(F.filter(resources, lambda r: r["ARN"] != ""), F.lit(1))["ARN"]
-    named = F.coalesce(*[string_param(params, k) for k in fixed.TARGET_PARAMS])
-    # parse parameters only where no ARN is present
-    return F.when(arn.isNotNull(), arn).otherwise(named)
+    # parameters are parsed only where no ARN is present
+    return F.coalesce(arn, first_string_param(params, fixed.TARGET_PARAMS))
 
 
 def _time(text: Column) -> tuple[Column, Column]:

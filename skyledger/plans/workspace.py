@@ -43,7 +43,11 @@ class Workspace:
     # events ----------------------------------------------------------------
     @property
     def events(self) -> DataFrame:
-        return self.event_view(self.table("events"))
+        """Normalised events, landed once in time order as an ingest job would leave them.
+
+        Detectors then scan real columns: time and event filters are pushed to files whose ranges exclude most of them.
+        """
+        return self.once("events", lambda: cut_lineage(self.event_view(self.table("events")).repartitionByRange("us")))
 
     def event_view(self, base: DataFrame) -> DataFrame:
         """Audit events from the events table, batch or stream."""
