@@ -17,8 +17,8 @@ from skyledger.session import build_session  # noqa: E402
 
 HEADLINE = [
     "N1_normalise_audit_records", "N12_dedup", "E1_geo_lookup", "E2_longest_prefix_sensitivity", "F8_rule_matches", "B1_profile_members",
-    "B4_new_geo", "B6_impossible_travel", "B7_enumeration_bursts", "B10_s3_exfiltration", "C1_links", "C8_cases", "G5_applicable_statements",
-    "G9_decisions", "P7_escalation_edges", "P10_escalation_paths", "H8_chain_steps", "X7_ranked_cases", "T1_sanitised_documents", "M6_ranking_agreement",
+    "B4_new_geo", "B6_impossible_travel", "B7_enumeration_bursts", "B10_s3_exfiltration", "B11_sensitive_public_access", "C8_cases", "G5_applicable_statements",
+    "G9_decisions", "P7_escalation_edges", "X7_ranked_cases", "T1_sanitised_documents", "M6_ranking_agreement",
 ]
 
 

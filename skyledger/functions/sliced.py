@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 SLICE = "_slice"
-DEFAULT_WIDTH = 60_000_000 * 60
+DEFAULT_WIDTH = 60_000_000 * 5  # five minutes: about 105,000 slices per key and year at most
 
 
 def slice_of(us: Column, width: int = DEFAULT_WIDTH) -> Column:

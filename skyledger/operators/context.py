@@ -154,7 +154,8 @@ def summary_parts(ranked: DataFrame, steps: DataFrame, case_detection: DataFrame
 
 
 def summary_text(parts: DataFrame) -> DataFrame:
-    """Assembled text per case for display. Use it on the cases being shown; exports keep the parts."""
+    """Assembled text per case for display. Give it the cases being shown, or only the lines of fixed length; exports
+    and whole-table jobs keep the parts."""
     lines = parts.groupBy("case_id", "line").agg(F.array_sort(F.collect_list(F.struct("part", "lead", "text"))).alias("p"))
     lines = lines.select("case_id", "line", F.array_join(F.transform("p", lambda x: F.concat(x["lead"], x["text"])), "").alias("text"))
     return lines.groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("summary"))

@@ -77,7 +77,8 @@ def escalation_edges(tables: Tables, index: DataFrame | None = None) -> DataFram
 
     cpv = (rewrite.join(verdict, key).groupBy("principal", "account")
            .agg(F.min(F.struct("ordinal", "resource", "conditional")).alias("b")))
-    passing = launchers.join(svc, "service").join(passed, ["principal", "role"]).join(roles, "role")
+    # start from the allowed (principal, role) pairs; services only narrow them
+    passing = passed.join(svc, "role").join(launchers, ["principal", "service"]).join(roles, "role")
     return reduce(DataFrame.unionByName, [
         via(cpv, admin, _ord(0, 0, 0, 0, 0), F.lit("CreatePolicyVersion"), F.col("b.conditional"), F.col("b.resource")),
         via(self_probe.join(verdict, key), admin, _ord(1, F.col("i"), 0, 0, 0), F.col("technique"), F.col("conditional"), F.col("principal")),

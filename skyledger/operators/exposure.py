@@ -163,7 +163,8 @@ def unused_grants(grants: DataFrame, usage: DataFrame, as_of_us: Column | None =
     pattern = g.select("principal", "ord", F.explode("actions").alias("pattern"))
     negated = pattern.filter(F.col("pattern").startswith("NOT ")).select("principal", "ord")
     pairs = match_globs(seen, "action", pattern, "pattern", ignore_case=True)
-    used = pattern.join(pairs, "pattern").join(seen, ["principal", "action"], "left_semi").select("principal", "ord")
+    # from the calls that happened to the patterns they satisfy, then to the grants of the same principal
+    used = seen.join(pairs, "action").join(pattern, ["principal", "pattern"]).select("principal", "ord")
     return g.join(used.unionByName(negated).distinct(), ["principal", "ord"], "left_anti")
 
 

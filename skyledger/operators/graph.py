@@ -166,6 +166,7 @@ def match_globs(values: DataFrame, value: str, patterns: DataFrame, pattern: str
 
 
 _ANY = "\u0001"
+SALTS = 64
 
 
 def _scope_resource() -> Column:
@@ -328,9 +329,14 @@ def candidate_probes(principals: DataFrame, actions: DataFrame, resources: DataF
     acts = cut_lineage(actions.select("action").distinct())
     indexed = _indexed(grants, acts)
     named = indexed.filter(F.col("_act") != _ANY).withColumnRenamed("_act", "action")
-    # NotAction grants cover all asked actions they do not exclude; actions are met on a constant key
-    negative = (indexed.filter(F.col("_act") == _ANY).drop("_act").withColumn("_k", F.lit(1)).join(acts.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    # NotAction grants cover all asked actions they do not exclude; the asked actions are a short list of names
+    asked = acts.agg(F.collect_set("action")).scalar()
+
+    def spared(df: DataFrame) -> DataFrame:
+        return (df.filter(F.col("_act") == _ANY).drop("_act").withColumn("_asked", asked).withColumn("action", F.explode("_asked")).drop("_asked")
                 .filter(~any_glob_matches(F.transform("not_actions", F.lower), F.lower("action"))))
+
+    negative = spared(indexed)
     reach = named.unionByName(negative).select(F.col("_owner").alias("principal"), "action", F.explode(
         F.when(F.size("resources") > 0, F.col("resources")).otherwise(F.array(F.lit("*")))).alias("_pattern")).distinct()
     reach = cut_lineage(reach)
@@ -338,11 +344,13 @@ def candidate_probes(principals: DataFrame, actions: DataFrame, resources: DataF
     by_identity = reach.join(pairs, "_pattern").select("principal", "action", "resource")
     res_idx = _indexed(allows.filter("_kind = 'resource'"), acts)
     res_act = (res_idx.filter(F.col("_act") != _ANY).select(F.col("_owner").alias("resource"), F.col("_act").alias("action"))
-               .unionByName(res_idx.filter(F.col("_act") == _ANY).withColumn("_k", F.lit(1)).join(acts.withColumn("_k", F.lit(1)), "_k")
-                            .select(F.col("_owner").alias("resource"), "action"))).distinct()
+               .unionByName(spared(res_idx).select(F.col("_owner").alias("resource"), "action"))).distinct()
     account = tables["resource"].select(F.col("arn").alias("resource"), "account")
-    by_resource = (res_act.join(resources.select("resource").distinct(), "resource", "left_semi").join(account, "resource")
-                   .join(tables["principal"].select(F.col("arn").alias("principal"), "account"), "account")
+    # a resource policy allows every principal of the account; the account key is salted over its principals
+    opened = (res_act.join(resources.select("resource").distinct(), "resource", "left_semi").join(account, "resource")
+              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    members = tables["principal"].select(F.col("arn").alias("principal"), "account", F.pmod(F.xxhash64("arn"), F.lit(SALTS)).cast("int").alias("_salt"))
+    by_resource = (opened.join(members, ["account", "_salt"])
                    .join(principals.select("principal").distinct(), "principal", "left_semi").select("principal", "action", "resource"))
     return cut_lineage(by_identity.unionByName(by_resource).distinct())
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.functions import fixed
-from skyledger.functions.columns import MINUTE, tactic_of
+from skyledger.functions.columns import tactic_of
+from skyledger.functions.sliced import with_global_number
 from skyledger.operators import behaviour, cases, chain, context, escalation, exposure, graph, metrics, normalise, ranking, rules, views
 from skyledger.plans import oracle as o
 from skyledger.plans.oracle import BURST_MIN, BURST_N, TRAVEL_MIN, compose
@@ -721,7 +722,8 @@ SELECT case_id, unnest(['unsupported provenance ref: nowhere', 'unsupported ARN:
   'action directive detected', 'uncited sentence: Delete it now.']) AS violation FROM cases WHERE n_detections > 1""")
 def t5g(w):
     items = cut_lineage(context.context_items(w.ranked, w.chain, w.cases["case_detection"], w.current, w.tags, w.playbooks))
-    text = context.summary_text(context.summary_parts(w.ranked, w.chain["step"], w.cases["case_detection"], w.tags, w.playbooks))
+    parts = context.summary_parts(w.ranked, w.chain["step"], w.cases["case_detection"], w.tags, w.playbooks)
+    text = context.summary_text(parts.filter("line NOT IN (3, 4)"))  # the lines whose length does not grow with the case
     bad = F.lit("\nSeen arn:aws:iam::1:user/ghost calling CreateGhost on s3://ghost-bucket/x [[ref:nowhere]]. Delete it now.")
     many = w.cases["case"].select("case_id", (F.col("n_detections") > 1).alias("_many"))
     drafts = text.join(many, "case_id").select("case_id", F.when(F.col("_many"), F.concat("summary", bad)).otherwise(F.col("summary")).alias("summary"))
@@ -750,8 +752,8 @@ def m2(w):
 
 @register("M3_chain_accuracy", None)
 def m3(w):
-    truth = w.spark.createDataFrame([(i, a) for i, a in enumerate(["ListRoles", "GetObject", "AssumeRole", "PutObject", "StopLogging", "GetObject"])], "pos INT, action STRING")
-    expected = w.current.select("principal").distinct().withColumn("_k", F.lit(1)).join(truth.withColumn("_k", F.lit(1)), "_k").select("principal", "pos", "action")
+    truth = ["ListRoles", "GetObject", "AssumeRole", "PutObject", "StopLogging", "GetObject"]
+    expected = w.current.select("principal").distinct().select("principal", F.posexplode(F.array(*map(F.lit, truth))).alias("pos", "action"))
     return metrics.chain_accuracy(expected, w.current.select("principal", F.col("seq").alias("pos"), F.col("event").alias("action")), by="principal")
 
 
@@ -772,12 +774,14 @@ WITH a AS (SELECT c_mktsegment AS ranking, c_custkey AS item, row_number() OVER
 b AS (SELECT ranking, item, e, row_number() OVER (PARTITION BY ranking ORDER BY n DESC, item) AS p FROM (SELECT ranking, item, e, count(o_orderkey) AS n FROM a LEFT JOIN orders ON o_custkey = item GROUP BY ALL))
 SELECT x.ranking, round(count(*) FILTER (x.p < y.p) / count(*), 4) AS agreement FROM b x JOIN b y ON x.ranking = y.ranking AND x.e < y.e GROUP BY x.ranking""")
 def m6(w):
-    from pyspark.sql.window import Window
     c = w.table("customer").select(F.col("c_mktsegment").alias("ranking"), F.col("c_custkey").alias("item"), "c_acctbal")
     n = w.table("orders").groupBy(F.col("o_custkey").alias("item")).agg(F.count("*").alias("n"))
-    by = lambda *k: F.row_number().over(Window.partitionBy("ranking").orderBy(*k))
-    both = c.join(n, "item", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return metrics.ranking_agreement(both.select("ranking", "item", by(F.desc("c_acctbal"), "item").alias("pos")), both.select("ranking", "item", by(F.desc("n"), "item").alias("pos")))
+    both = c.join(n, "item", "left").select("ranking", "item", (-F.round(F.col("c_acctbal") * 100)).cast("bigint").alias("by_balance"), (-F.coalesce("n", F.lit(0))).cast("bigint").alias("by_orders"))
+
+    def placed(order: str, width: int) -> DataFrame:
+        return with_global_number(both, order, ["item"], "pos", keys=["ranking"], width=width).select("ranking", "item", "pos")
+
+    return metrics.ranking_agreement(placed("by_balance", 1000), placed("by_orders", 1))
 
 
 @register("M7_timing", """SELECT case_id, round((us_end - us_start) / 1000, 3) AS detection_latency_ms, NULL::DOUBLE AS mttr_ms FROM cases""")
