@@ -34,6 +34,11 @@ def is_read_action(event: Column) -> Column:
     return event.rlike("^(" + "|".join(fixed.READ_PREFIXES) + ")")
 
 
+def utc_clock(us: str) -> Column:
+    """Epoch microseconds as a timestamp that prints UTC clock time whatever the session time zone is."""
+    return F.to_utc_timestamp(F.timestamp_micros(us), F.current_timezone())
+
+
 def tail(c: Column, sep: str = "/") -> Column:
     return F.substring_index(c, sep, -1)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.functions import fixed
-from skyledger.functions.columns import tactic_of
+from skyledger.functions.columns import tactic_of, utc_clock
 from skyledger.functions.sliced import with_global_number
 from skyledger.operators import behaviour, cases, chain, context, escalation, exposure, graph, metrics, normalise, ranking, rules, views
 from skyledger.plans import oracle as o
@@ -16,7 +16,7 @@ from skyledger.plans.oracle import BURST_MIN, BURST_N, TRAVEL_MIN, compose
 from skyledger.plans.shared_views import ACCOUNT, IAM, SPLIT_US
 from skyledger.plans.workspace import Workspace, workspace
 from skyledger.session import cut_lineage
-from skyledger.sources import audit
+from skyledger.sources import audit, sinks
 from skyledger.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,7 +42,7 @@ def _audit_json(w: Workspace) -> DataFrame:
                      F.when(F.col("issuer").isNotNull(), F.struct(F.struct(F.lit("Role").alias("type"), F.col("issuer").alias("arn")).alias("sessionIssuer"),
                             F.struct(F.when(F.col("mfa"), " TRUE ").otherwise("false").alias("mfaAuthenticated")).alias("attributes"))).alias("sessionContext"))
     arn = F.when(F.col("k") % 4 == 0, F.array(F.struct(F.lit("").alias("ARN")), F.struct(F.col("target").alias("ARN"))))
-    rec = F.struct(F.col("event_id").alias("eventID"), F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("eventTime"),
+    rec = F.struct(F.col("event_id").alias("eventID"), F.date_format(utc_clock("us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("eventTime"),
                    F.col("event").alias("eventName"), F.col("event_source").alias("eventSource"), F.col("region").alias("awsRegion"), F.col("src_ip").alias("sourceIPAddress"),
                    F.col("user_agent").alias("userAgent"), F.col("read_only").alias("readOnly"), ident.alias("userIdentity"), arn.alias("resources"),
                    F.struct(F.col("bytes").alias("bytesTransferred")).alias("additionalEventData"))
@@ -87,7 +87,7 @@ def n7(w):
     details = F.struct(ip.alias("RemoteIpDetails"))
     action = F.struct(F.when(F.col("k") % 3 == 0, details).alias("AwsApiCallAction"), F.when(F.col("k") % 3 == 1, details).alias("NetworkConnectionAction"),
                       F.when(F.col("k") % 3 == 2, details).alias("PortProbeAction"))
-    time = F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    time = F.date_format(utc_clock("us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     finding = F.to_json(F.struct(
         F.col("account").alias("AccountId"), F.col("region").alias("Region"), F.concat(F.lit("Recon:"), "event").alias("Type"), F.col("event_id").alias("Id"), F.col("severity").alias("Severity"),
         F.struct(F.struct(F.when(F.col("k") % 3 == 0, F.concat(F.lit("u"), F.col("uid").cast("string"))).alias("UserName"),
@@ -872,3 +872,54 @@ def st7(w):
     profile = cut_lineage(exposure.s3_profile(w.history))
     d = jobs.drain(jobs.stream_s3_daily(_stream(w), profile, 1.0, 1, 50_000_000), "daily")
     return d.select("principal", F.expr("unix_micros(day) div 86400000000").alias("day"), "get_count", "bytes")
+
+
+# ================================================================ further views and parts
+
+@register("X2_X3_capabilities", f"""
+SELECT arn AS principal, arn IN (SELECT principal FROM admins) AS is_admin, arn IN (SELECT src FROM esc WHERE kind = 'CAN_ACCESS') AS read_sensitive,
+  arn IN (SELECT principal FROM app WHERE lower(effect) = 'allow' AND NOT conditional AND (len(resources) > 0 OR len(not_resources) > 0) AND len(list_filter(actions, lambda x: lower(x) IN ('*', 'iam:*') OR regexp_matches(lower(x), '^iam:.*({o._verbs})'))) > 0) AS iam_write,
+  arn IN (SELECT who FROM trust) AS can_assume FROM principal""")
+def x23(w):
+    a = graph.identity_statements(w.index)
+    flag = lambda df, name: df.select("principal").distinct().withColumn(name, F.lit(True))
+    edges = w.graph["edges"]
+    d = w.permissions["principal"].select(F.col("arn").alias("principal"))
+    for df, name in ((escalation.admin_equivalent(a), "is_admin"), (graph.edges_of(edges, "CAN_ACCESS").select(F.col("src").alias("principal")), "read_sensitive"),
+                     (ranking.iam_writers(a), "iam_write"), (graph.edges_of(edges, "CAN_ASSUME").select(F.col("src").alias("principal")), "can_assume")):
+        d = d.join(flag(df, name), "principal", "left")
+    return d.select("principal", *[F.coalesce(n, F.lit(False)).alias(n) for n in ("is_admin", "read_sensitive", "iam_write", "can_assume")])
+
+
+@register("V2_open_cases", "SELECT count(*) AS open_cases FROM cases")
+def v2(w):
+    return views.open_case_count(views.cases_by_blast(views.case_list(w.ranked, w.plan)))
+
+
+@register("V7_detection_rows", """SELECT case_id, det_id, key, CASE WHEN key = 'm8-s3-sensitive-public-access' THEN regexp_extract(message, 'bucket (.*)', 1) END AS resource, key LIKE 'm8-%' AS advanced FROM cdet""")
+def v7(w):
+    return views.detection_rows(w.cases["case_detection"]).select("case_id", "det_id", "key", "resource", "advanced")
+
+
+@register("X5_chain_parts", "SELECT case_id, step_no AS part_no, action AS text FROM steps")
+def x5c(w):
+    return ranking.case_summary(w.ranked, w.chain["step"]).filter("part_no > 0")
+
+
+@register("K2_case_csv_rows", """
+WITH k AS (SELECT case_id, event_id, array_to_string(list(key ORDER BY stage, seq, sub, key), ';') AS detections FROM cdet GROUP BY ALL)
+SELECT s.case_id, s.us, s.principal, s.event AS action, coalesce(s.target, '') AS target, coalesce(k.detections, '') AS detections, replace(r.techniques, ',', ';') AS attack_ids, r.blast AS blast_score
+FROM sel s JOIN ranked r USING (case_id) LEFT JOIN k ON k.case_id = s.case_id AND k.event_id = s.event_id""")
+def k2(w):
+    return sinks.case_csv_rows(w.ranked, w.chain["step_event"], w.cases["case_detection"]).drop("seq", "event_ts")
+
+
+@register("K4_latest_per_key", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
+def k4(w):
+    import uuid
+
+    from skyledger.session import checkpoint_root
+    root = f"{checkpoint_root(w.spark).rstrip('/')}/upsert-{uuid.uuid4().hex}"
+    rows = w.table("events").select("user_id", "event_id")
+    sinks.upsert(rows.filter("ts < TIMESTAMP_NTZ '2024-01-16 00:00:00'"), root, "user_id", "event_id")
+    return w.spark.read.parquet(sinks.upsert(rows.filter("ts >= TIMESTAMP_NTZ '2024-01-16 00:00:00'"), root, "user_id", "event_id"))

@@ -141,6 +141,7 @@ def workspace(spark: SparkSession, folder: str) -> Workspace:
     return _OPEN[key]
 
 
-def forget() -> None:
-    """Drop all prepared results, so that the next query pays its full cost."""
-    _OPEN.clear()
+def forget(keep: tuple[str, ...] = ()) -> None:
+    """Drop prepared results except those named, so that the next query pays its own cost."""
+    for w in _OPEN.values():
+        w._made = {k: v for k, v in w._made.items() if k in keep}

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyledger.functions.columns import utc_clock
 from skyledger.functions.sliced import first_by
 
 
-def iso_time(us) -> F.col:
+def iso_time(us: str) -> Column:
     """ISO-8601 UTC text of epoch microseconds."""
-    return F.concat(F.date_format(F.timestamp_micros(us), "yyyy-MM-dd'T'HH:mm:ss"),
-                    F.when(F.col(us) % 1_000_000 != 0, F.date_format(F.timestamp_micros(us), ".SSSSSS")).otherwise(""), F.lit("+00:00"))
+    return F.concat(F.date_format(utc_clock(us), "yyyy-MM-dd'T'HH:mm:ss"),
+                    F.when(F.col(us) % 1_000_000 != 0, F.date_format(utc_clock(us), ".SSSSSS")).otherwise(""), F.lit("+00:00"))
 
 
 # ---------------------------------------------------------------- case exports

@@ -163,3 +163,30 @@ def test_automation_tokens(spark):
     none = F.lit(None).cast("string")
     assert [r[0] for r in d.select(behaviour.is_automation(F.col("p"), none, none)).collect()] == [True, False, True]
     assert graph is not None
+
+
+def test_case_feed_keeps_the_newest_row(spark, tmp_path):
+    from skyledger.streaming import jobs
+    src, root, state = (str(tmp_path / n) for n in ("src", "cases", "state"))
+    schema = "case_id STRING, rank DOUBLE, version BIGINT"
+    spark.createDataFrame([("case-1", 0.2, 1), ("case-2", 0.5, 1)], schema).coalesce(1).write.parquet(src)
+    jobs.start_case_feed(spark.readStream.schema(schema).parquet(src), root, state).awaitTermination()
+    spark.createDataFrame([("case-1", 0.9, 2)], schema).coalesce(1).write.mode("append").parquet(src)
+    jobs.start_case_feed(spark.readStream.schema(schema).parquet(src), root, state).awaitTermination()
+    got = spark.read.parquet(sinks.latest_snapshot(spark, root)).collect()
+    assert {(r["case_id"], r["rank"]) for r in got} == {("case-1", 0.9), ("case-2", 0.5)}
+
+
+def test_plans_push_filters_and_avoid_nested_loops(spark, tmp_path):
+    """Detectors read only their columns, push their filters to the files and never build a product."""
+    from skyledger.operators import behaviour as b
+    from skyledger.plans import shared_views  # noqa: F401
+    path = str(tmp_path / "ev")
+    cols = ("seq BIGINT, us BIGINT, principal STRING, src_ip STRING, account STRING, region STRING, event_id STRING, event STRING, geo STRING, params STRING, user_agent STRING, "
+            "session STRUCT<issuer_arn: STRING, issuer_type: STRING, session_name: STRING, mfa_authenticated: BOOLEAN>")
+    spark.createDataFrame([], cols).write.parquet(path)
+    ev = spark.read.parquet(path).filter("us >= 5")
+    plan = b.impossible_travel(ev)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(us,5)" in plan and "user_agent" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+    plan = b.automation_iam_writes(ev)._jdf.queryExecution().executedPlan().toString()
+    assert "In(event" in plan and "Exchange" not in plan
