@@ -49,7 +49,7 @@ def escalation_edges(tables: Tables, index: DataFrame | None = None) -> DataFram
     high = tables["resource"].filter("sensitivity = 'high'")
     bucket = F.col("rtype") == "AWS::S3::Bucket"
     probe_object = high.select(F.col("arn").alias("target"), F.col("ordinal").alias("r_ord"), bucket.alias("is_bucket"),
-                               F.when(bucket, F.concat("arn", F.lit("/cloudhunt-probe"))).otherwise(F.col("arn")).alias("resource"),
+                               F.when(bucket, F.concat("arn", F.lit("/probe-object"))).otherwise(F.col("arn")).alias("resource"),
                                F.when(bucket, "s3:GetObject").otherwise("*").alias("action"))
     everyone = who.select("principal")
     data = candidate_probes(everyone, probe_object.select("action"), probe_object.select("resource"), tables, index).join(

@@ -193,7 +193,7 @@ FROM d"""
 CTES["trusts"] = (f"SELECT role, role_ord, stmt_ord, unnest(aws_principals) AS who, generate_subscripts(aws_principals, 1) - 1 AS pos FROM trust_statement "
                   f"WHERE lower(effect) = 'allow' AND len(list_filter(actions, lambda a: lower(a) IN {_in(fixed.ASSUME_ACTIONS)})) > 0")
 CTES["trust"] = f"SELECT *, who = '*' OR coalesce(nullif(split_part(who, ':', 5), '') <> '{ACCOUNT}', false) AS external FROM trusts"
-CTES["highres"] = ("SELECT arn AS target, ordinal AS r_ord, CASE WHEN rtype = 'AWS::S3::Bucket' THEN arn || '/cloudhunt-probe' ELSE arn END AS resource, "
+CTES["highres"] = ("SELECT arn AS target, ordinal AS r_ord, CASE WHEN rtype = 'AWS::S3::Bucket' THEN arn || '/probe-object' ELSE arn END AS resource, "
                    "CASE WHEN rtype = 'AWS::S3::Bucket' THEN 's3:GetObject' ELSE '*' END AS action FROM resource WHERE sensitivity = 'high'")
 CTES["p_cpv"] = "SELECT principal, 'iam:CreatePolicyVersion' AS action, policy AS resource, ordinal FROM attachment"
 CTES["p_self"] = " UNION ALL ".join(f"SELECT arn AS principal, '{a}' AS action, arn AS resource, '{t}' AS technique, {i} AS i FROM principal WHERE ptype = '{p}'"
