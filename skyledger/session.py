@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,31 +24,22 @@ def build_session(app: str = "skyledger", master: str | None = None, **conf: str
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables, as named by the cluster.
+    """Shared folder for intermediate tables: ``spark.checkpoint.dir`` as the cluster names it.
 
-    A temporary folder is used only in local mode and only where nothing is configured.
+    Only where it is unset, a folder below the warehouse, which the driver and all executors reach as well.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured
-    existing = sc._jsc.sc().getCheckpointDir()
-    if existing.isDefined():
-        return existing.get()
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    created = tempfile.mkdtemp(prefix="skyledger-checkpoint-")
-    sc.setCheckpointDir(created)
-    return created
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
+
+
+def cut_lineage(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and continue from the files.
 
     The plan restarts at a parquet scan with exact sizes, so a lost executor costs one re-read and the
-    next join is planned from real statistics.
+    next join is planned from real statistics. ``options`` go to the writer.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/skyledger-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
