@@ -87,7 +87,7 @@ def numbered(df: DataFrame, keys: list[str], salt: Column, chunks: int, order: l
             .drop("_chunk", "_shift", *[f"_k{i}" for i in range(len(part))]))
 
 
-def chunk_count(rows: int, per_chunk: int = 20_000) -> int:
+def chunk_count(rows: int, per_chunk: int = 1_000) -> int:
     """Chunks for :func:`numbered`, so that a chunk of one hot key stays near ``per_chunk`` rows."""
     return max(1, -(-rows // per_chunk))
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skyledger.llm import forest, hashtree, mixture, pack
+from skyledger.llm import forest, hashtree, hnsw, maxscore, mixture, pack
 from skyledger.llm.common import read, tokenizer_file
 
 
@@ -13,6 +14,10 @@ def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.drop("row")
 
 
+def op2_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
 def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -21,11 +26,15 @@ def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mix(read(spark, sf_dir, "documents"))["taken"].select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op8_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashtree.sharded(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op4_lsh_forest, op5_mixture, op8_hash_tree)}
+QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op2_maxscore, op4_lsh_forest, op5_mixture, op6_hnsw, op8_hash_tree)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
@@ -45,4 +54,12 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(least(low, s.d
     coalesce(least(low, s.doc_id), s.doc_id) = s.doc_id AS kept
 FROM sets s LEFT JOIN low USING (doc_id)"""
 
-ORACLE = {"op4_lsh_forest": _NEAR}
+_TOP = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
+
+ORACLE = {"op2_maxscore": _TOP, "op4_lsh_forest": _NEAR}
