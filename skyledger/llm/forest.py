@@ -226,3 +226,14 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     return (base.select("doc_id", "n_shingles").join(node, "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+
+
+def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
+    """The documents that are kept: one of each group of near duplicates, all columns as they are.
+
+    Of rows equal in doc_id and text one stays; rows without doc_id all stay.
+    """
+    kept = cut_lineage(near_duplicates(docs, words).filter("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n")))
+    once = docs.join(kept.filter("kept and n = 1").select("doc_id"), "doc_id", "left_semi")
+    again = docs.join(kept.filter("kept and n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.union(again).union(docs.filter("doc_id is null")).select(docs.columns)

@@ -148,19 +148,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix as documents (doc_id, text, lang, source, n_chars): per document and pass, the words taken in their order.
+    """The mix as documents, with their columns (but those led by an underscore): per document and pass, the words taken in their order.
 
     A pass that takes the whole document keeps its text as it is; otherwise the taken words with the white space before them.
     """
     ranges = mix(docs, **how)["ranges"]
     per_pass = ranges.groupBy("doc_id", "source", "row", "at", "pass").agg(
-        F.max("size").alias("size"), F.sum(F.col("hi") - F.col("lo")).alias("n"), F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
-    copies = docs.select("doc_id", "source", F.xxhash64("text").alias("row"), "text", "lang")
+        F.max("size").alias("_size"), F.sum(F.col("hi") - F.col("lo")).alias("_words"), F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_spans"))
     # equal documents are one row here and as many streams there
-    copies = copies.groupBy("doc_id", "source", "row").agg(F.first("text").alias("text"), F.first("lang").alias("lang"))
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("row") == F.col("_r"))
-    joined = per_pass.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("row").alias("_r"), "size", "n", "spans").join(copies, on)
+    copies = docs.select(*[c for c in docs.columns if c[0] != "_"], F.xxhash64("text").alias("_text")).dropDuplicates(["doc_id", "source", "_text"])
+    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_text") == F.col("_r"))
+    joined = per_pass.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("row").alias("_r"), "_size", "_words", "_spans").join(copies, on)
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    part = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")))), "")
-    text = F.when(F.col("n") == F.col("size"), F.col("text")).otherwise(part)
-    return joined.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("bigint")).select("doc_id", "text", "lang", "source", "n_chars")
+    part = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(words, (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")))), "")
+    out = joined.withColumn("text", F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(part))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("bigint"))
+    return out.select([c for c in docs.columns if c[0] != "_"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import forest, hashtree, hnsw, maxscore, mixture, pack
+from skyledger.llm import forest, hashtree, hnsw, maxscore, mixture, pack, pii, templates, toxicity
 from skyledger.llm.common import read, tokenizer_file
 
 
@@ -30,11 +30,25 @@ def op6_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op7_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.cleaned(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op8_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashtree.sharded(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op2_maxscore, op4_lsh_forest, op5_mixture, op6_hnsw, op8_hash_tree)}
+def op9_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).withColumnRenamed("toxicity", "score")
+    return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op2_maxscore, op4_lsh_forest, op5_mixture, op6_hnsw,
+                                op7_template_tree, op8_hash_tree, op9_counterfactual_toxicity, op10_weak_supervision_pii)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
@@ -62,4 +76,26 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_z
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
 
-ORACLE = {"op2_maxscore": _TOP, "op4_lsh_forest": _NEAR}
+_LINES = r"""
+WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM (SELECT DISTINCT doc_id, text FROM documents)),
+flat AS (SELECT doc_id, text, pos, trim(regexp_replace(line, '[\x09-\x0D\x20]+', ' ', 'g'), ' ') AS f FROM raw),
+masked AS (SELECT doc_id, text, pos, string_split(regexp_replace(f, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') AS t FROM flat WHERE f <> ''),
+distinct_lines AS (SELECT t, len(t) AS n, t[1:3] AS lead, count(DISTINCT (doc_id, text)) AS docs FROM masked WHERE len(t) > 3 GROUP BY t),
+leaves AS (SELECT n, lead FROM distinct_lines GROUP BY 1, 2 HAVING count(*) > 1 AND sum(docs) >= 3),
+places AS (SELECT n, lead, t, docs, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM distinct_lines SEMI JOIN leaves USING (n, lead)),
+shared AS (SELECT n, lead, i, token FROM places GROUP BY ALL HAVING sum(docs) >= 3),
+general AS (SELECT p.t, list(CASE WHEN s.token IS NOT NULL THEN p.token ELSE '<*>' END ORDER BY p.i) AS g
+    FROM places p LEFT JOIN shared s USING (n, lead, i, token) GROUP BY p.t),
+template AS (SELECT t, g FROM general WHERE len(list_filter(g, lambda x: x <> '<*>')) >= 0.7 * len(g)),
+rows AS (SELECT doc_id, text, pos, coalesce(g, m.t) AS g FROM masked m LEFT JOIN template USING (t)),
+beside AS (SELECT *, (lag(g) OVER w, lead(g) OVER w) AS context FROM rows WINDOW w AS (PARTITION BY doc_id, text ORDER BY pos)),
+once AS (SELECT g, doc_id, text, arg_min(context, pos) AS context FROM beside GROUP BY 1, 2, 3),
+recurring AS (SELECT g FROM once GROUP BY g HAVING count(*) >= 3 AND 2 * count(DISTINCT context) >= count(*)),
+gone AS (SELECT doc_id, text, pos FROM rows SEMI JOIN recurring USING (g)),
+kept AS (SELECT r.doc_id, r.text, string_agg(line, chr(10) ORDER BY r.pos) AS left_text FROM raw r ANTI JOIN gone g ON r.doc_id = g.doc_id AND r.text = g.text AND r.pos = g.pos GROUP BY 1, 2),
+lost AS (SELECT doc_id, text, count(*) AS k FROM gone GROUP BY 1, 2)
+SELECT d.doc_id, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS BIGINT) AS n_lines, CAST(coalesce(k, 0) AS BIGINT) AS n_dropped,
+    CASE WHEN d.text IS NULL THEN NULL ELSE md5(coalesce(left_text, '')) END AS text_md5
+FROM documents d LEFT JOIN kept USING (doc_id, text) LEFT JOIN lost USING (doc_id, text)"""
+
+ORACLE = {"op7_template_tree": _LINES, "op2_maxscore": _TOP, "op4_lsh_forest": _NEAR}
