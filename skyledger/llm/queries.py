@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import forest, hashtree, hnsw, maxscore, mixture, pack, pii, templates, toxicity
+from skyledger.llm import forest, hashtree, hnsw, maxscore, mixture, pack, pii, templates, toxicity, windows
 from skyledger.llm.common import read, tokenizer_file
 
 
@@ -18,6 +18,10 @@ def op2_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
+def op3_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.repeated_passages(read(spark, sf_dir, "documents"))[0]
+
+
 def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op2_maxscore, op4_lsh_forest, op5_mixture, op6_hnsw,
+QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op2_maxscore, op3_compact_windows, op4_lsh_forest, op5_mixture, op6_hnsw,
                                 op7_template_tree, op8_hash_tree, op9_counterfactual_toxicity, op10_weak_supervision_pii)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
