@@ -2,12 +2,14 @@
 
 Each document is the set of its distinct five-word shingles. ``TREES`` independent signatures of ``DEPTH`` min-hashes
 give as many sorted orders; documents that share a prefix of a signature are neighbours there, and a *region* is a run of
-neighbours with the same prefix. A region starts at depth ``SHALLOW``; where it holds more shingles than a few blocks, it
-is followed deeper until it fits, and afterwards only its documents outside the largest component are compared
-with the whole region. Links are confirmed on full sets and a task returns a spanning forest of what it confirmed, so
-a group of m near copies costs m rows, not m squared.
-
-Two documents at similarity 0.75 miss each other with probability (1 - 0.75^2)^16 = 2e-6.
+neighbours with the same prefix. A region starts at depth ``SHALLOW``; where it holds more than a few blocks, it is
+followed deeper until it fits, and afterwards only its documents outside the largest component are compared with the
+whole region. Inside a region, documents whose signatures agree in less than ``AGREE`` of all places are told apart; what
+still hangs together is confirmed on full sets, once for all trees that found it. A task returns a spanning forest of
+what it confirmed, so a group of m near copies costs m rows, not m squared.
+
+Two documents at similarity 0.75 share no region with probability (1 - 0.75^3)^24 = 2e-6, and agree in less than half of
+the 120 places with probability 1e-9.
 """
 
 from __future__ import annotations
@@ -16,26 +18,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from skyledger.llm.common import components, shingles, word_hashes
 from skyledger.session import cut_lineage
 
-TREES, DEPTH, SHALLOW = 16, 6, 2
-#: Trees of each round: later rounds only look at regions that still hold several components.
-ROUNDS = ((0, 2), (2, TREES))
+TREES, DEPTH, SHALLOW, AGREE = 24, 5, 3, 0.5
 #: Most shingles and documents of a block, and most blocks of a region before it is followed deeper.
 BLOCK_SHINGLES, BLOCK_DOCS, REGION_BLOCKS = 400_000, 512, 12
-_CHUNK = 4096
+_CHUNK = 512
 
 
 def _signature(sh: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.full(len(a), 0xFFFFFFFF, np.uint64)
+    out = np.full(len(a), 0xFFFFFFFFFFFFFFFF, np.uint64)
     for i in range(0, len(sh), _CHUNK):
-        np.minimum(out, ((sh[None, i:i + _CHUNK] * a + b) >> np.uint64(32)).min(axis=1), out=out)
-    return out.astype("<u4")
+        h = sh[None, i:i + _CHUNK] * a
+        h += b
+        np.minimum(out, h.min(axis=1), out=out)
+    return (out >> np.uint64(32)).astype("<u4")
 
 
 def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -110,15 +112,62 @@ def _spanning(ids: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _by_group(rows: DataFrame, each, schema: str) -> DataFrame:
+    """Apply ``each`` (a frame of one group) to every group of ``grp``. Groups are bounded; a task walks its sorted rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            key = batch["grp"].to_numpy()
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()]
+            out = [each(batch.iloc[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+            held = batch.iloc[cuts[-1]:] if len(batch) else None
+            yield _frame([x for y in out for x in y])
+        if held is not None and len(held):
+            yield _frame(each(held))
+
+    def _frame(found: list) -> pd.DataFrame:
+        return pd.DataFrame(found, columns=[c.split()[0] for c in schema.split(", ")]).astype("int64")
+
+    return rows.repartition("grp").sortWithinPartitions("grp").mapInPandas(run, schema)
+
+
+def _alike(groups: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(grp, rep): what hangs together inside each group by agreeing signatures, named by its members, once for all trees."""
+
+    def each(group: pd.DataFrame) -> list[tuple[int, int]]:
+        if len(group) < 2:
+            return []
+        reps = group["rep"].to_numpy(np.int64)
+        sig = np.frombuffer(b"".join(group["sig"]), "<u4").reshape(len(group), -1)
+        n = group["n_shingles"].to_numpy(np.int64)
+        agree = np.zeros((len(reps), len(reps)), np.int16)
+        for i in range(sig.shape[1]):
+            agree += sig[:, i, None] == sig[None, :, i]
+        near = (agree >= AGREE * sig.shape[1]) & (100 * np.minimum(n[:, None], n) >= 75 * np.maximum(n[:, None], n))
+        parts = {}
+        for a, b in _spanning(np.arange(len(reps)), near):
+            parts.setdefault(a, [a]).append(b)
+        out = []
+        for part in parts.values():
+            members = np.sort(reps[part])
+            name = xxhash.xxh3_64_intdigest(members.tobytes()) - 2**63
+            out += [(name, int(r)) for r in members]
+        return out
+
+    return _by_group(groups.join(sigs.select("rep", "n_shingles", "sig"), "rep"), each, "grp long, rep long").distinct()
+
+
 def _confirm(groups: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) inside each group (grp, rep), confirmed on full sets."""
 
-    def run(key, batch: pd.DataFrame) -> pd.DataFrame:
-        arrays = [np.frombuffer(m, "<u8") for m in batch["members"]]
-        pairs = _spanning(batch["rep"].to_numpy(np.int64), _linked(arrays)) if len(arrays) > 1 else []
-        return pd.DataFrame(pairs, columns=["a", "b"]).astype("int64")
+    def each(group: pd.DataFrame) -> list[tuple[int, int]]:
+        if len(group) < 2:
+            return []
+        return _spanning(group["rep"].to_numpy(np.int64), _linked([np.frombuffer(m, "<u8") for m in group["members"]]))
 
-    return groups.join(sets.select("rep", "members"), "rep").groupBy("grp").applyInPandas(run, "a long, b long")
+    return _by_group(groups.join(sets.select("rep", "members"), "rep"), each, "a long, b long")
 
 
 def _blocks(regions: DataFrame) -> DataFrame:
@@ -141,16 +190,7 @@ def _regions(sigs: DataFrame, lo: int, hi: int, depth: int) -> DataFrame:
     prefix = F.substring("sig", F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * depth))
     trees = F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))).alias("tree")
     return sigs.select("rep", "n_shingles", "sig", trees).select(
-        F.xxhash64("tree", F.lit(depth), F.base64(prefix)).alias("rgn"), "rep", "n_shingles", "tree")
-
-
-def _crowded(regions: DataFrame, label: DataFrame | None) -> DataFrame:
-    """Regions with several documents (and, where labels are given, several components)."""
-    rows = regions if label is None else regions.join(label, regions["rep"] == label["id"], "left").select(
-        regions["*"], F.coalesce("component", "rep").alias("component"))
-    kind = "rep" if label is None else "component"
-    many = rows.groupBy("rgn").agg(F.min(kind).alias("x"), F.max(kind).alias("y")).filter("x <> y").select("rgn")
-    return rows.join(many, "rgn")
+        F.xxhash64("tree", F.lit(depth), prefix).alias("rgn"), "rep", "n_shingles", "tree")
 
 
 def links(docs: DataFrame, sigs: DataFrame, words: int = 5) -> DataFrame:
@@ -158,32 +198,26 @@ def links(docs: DataFrame, sigs: DataFrame, words: int = 5) -> DataFrame:
 
     ``sigs``: (rep, n_shingles, sig), one row per distinct set.
     """
-    active = cut_lineage(_crowded(_regions(sigs, 0, TREES, SHALLOW), None).select("rep").distinct())
-    sets = cut_lineage(_sets(docs, active, words))
-    sigs = sigs.join(active, "rep", "left_semi")
-    found, label = None, None
-    for lo, hi in ROUNDS:
-        dealt = cut_lineage(_blocks(_crowded(_regions(sigs, lo, hi, SHALLOW), label).select("rgn", "rep", "n_shingles")))
-        fits = F.col("blocks") <= REGION_BLOCKS
-        new = [_confirm(_pairs_of_blocks(dealt.filter(fits)), sets)]
-        wide, inside = dealt.filter(~fits).select("rgn", "rep").distinct(), None
-        if not wide.isEmpty():
-            for depth in range(SHALLOW + 1, DEPTH + 1):
-                deeper = _blocks(_regions(sigs.join(wide.select("rep").distinct(), "rep", "left_semi"), lo, hi, depth).select("rgn", "rep", "n_shingles"))
-                if depth == DEPTH:  # all hashes of the tree agree: neighbours in the order of set sizes are compared
-                    inside = _runs(deeper)
-                else:
-                    inside = _pairs_of_blocks(deeper.filter(fits))
-                new.append(_confirm(inside, sets))
-        batch = new[0]
-        for more in new[1:]:
-            batch = batch.union(more)
-        found = cut_lineage(batch if found is None else found.union(batch))
-        label = cut_lineage(components(found))
-        if inside is not None:
-            found = cut_lineage(found.union(_confirm(_strays(dealt.filter(~fits), label), sets)))
-            label = cut_lineage(components(found))
-    return label.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    dealt = cut_lineage(_blocks(_regions(sigs, 0, TREES, SHALLOW).select("rgn", "rep", "n_shingles")))
+    active = cut_lineage(dealt.select("rep").distinct())
+    sigs = cut_lineage(sigs.join(active, "rep", "left_semi"))
+    fits = F.col("blocks") <= REGION_BLOCKS
+    groups = _pairs_of_blocks(dealt.filter(fits))
+    wide = dealt.filter(~fits)
+    crowd = not wide.isEmpty()
+    if crowd:
+        members = sigs.join(wide.select("rep").distinct(), "rep", "left_semi")
+        for depth in range(SHALLOW + 1, DEPTH + 1):
+            deeper = _blocks(_regions(members, 0, TREES, depth).select("rgn", "rep", "n_shingles"))
+            # at full depth all hashes of the tree agree: blocks are compared with the block beside them
+            groups = groups.union(_runs(deeper) if depth == DEPTH else _pairs_of_blocks(deeper.filter(fits)))
+    groups = cut_lineage(_alike(groups, sigs))
+    sets = cut_lineage(_sets(docs, groups, words))
+    found = cut_lineage(_confirm(groups, sets))
+    if crowd:
+        strays = cut_lineage(_alike(_strays(wide, cut_lineage(components(found))), sigs))
+        found = cut_lineage(found.union(_confirm(strays, cut_lineage(_sets(docs, strays, words)))))
+    return found
 
 
 def _runs(dealt: DataFrame) -> DataFrame:
@@ -221,7 +255,7 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     member = real.select("doc_id", *by).join(classes.select(*by, "rep"), by).select("doc_id", "rep")
     lowest = member.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
     twice = lowest.filter("low <> high").select("doc_id", "low").join(member, "doc_id").select(F.col("low").alias("a"), F.col("rep").alias("b"))
-    label = cut_lineage(components(found.union(twice)))
+    label = components(found.union(twice))
     node = lowest.select("doc_id", F.col("low").alias("id")).join(label, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id"))
     return (base.select("doc_id", "n_shingles").join(node, "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
