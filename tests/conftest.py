@@ -11,7 +11,8 @@ from skyledger.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = build_session("tests", "local[8]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "8g"})
+def spark(tmp_path_factory):
+    s = build_session("tests", "local[8]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+                                              "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}"})
     s.sparkContext.setLogLevel("ERROR")
     return s
