@@ -83,7 +83,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 _LINES = r"""
 WITH raw AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM (SELECT DISTINCT doc_id, text FROM documents)),
 flat AS (SELECT doc_id, text, pos, trim(regexp_replace(line, '[\x09-\x0D\x20]+', ' ', 'g'), ' ') AS f FROM raw),
-masked AS (SELECT doc_id, text, pos, string_split(regexp_replace(f, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') AS t FROM flat WHERE f <> ''),
+fields AS (SELECT doc_id, text, pos, f, regexp_replace(f, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM flat WHERE f <> ''),
+masked AS (SELECT doc_id, text, pos, string_split(CASE WHEN (length(m) - length(replace(m, '<*>', ''))) / 3 > (1 - CAST(0.7 AS DOUBLE)) * len(string_split(m, ' ')) THEN f ELSE m END, ' ') AS t FROM fields),
 distinct_lines AS (SELECT t, len(t) AS n, t[1:3] AS lead, count(DISTINCT (doc_id, text)) AS docs FROM masked WHERE len(t) > 3 GROUP BY t),
 leaves AS (SELECT n, lead FROM distinct_lines GROUP BY 1, 2 HAVING count(*) > 1 AND sum(docs) >= 3),
 places AS (SELECT n, lead, t, docs, unnest(t) AS token, generate_subscripts(t, 1) AS i FROM distinct_lines SEMI JOIN leaves USING (n, lead)),

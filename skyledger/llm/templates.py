@@ -22,24 +22,32 @@ ANY = "<*>"
 RESERVED = ("_doc", "_gone", "_n", "n_lines", "n_dropped")
 
 
-def _masked(line: Column) -> Column:
-    """Tokens separated by one space; those with a digit replaced."""
-    flat = F.trim(F.regexp_replace(line, r"[\x09-\x0D\x20]+", " "))
-    return F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, "[^ ]*[0-9][^ ]*", ANY)).otherwise(flat)
+def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column through a one-element explode, which the optimiser never copies into the expressions above it."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc, pos, masked): the lines of each document that are not blank. ``doc`` is a hash of id and text."""
+    """(doc, pos, masked): the lines of each document that are not blank. ``doc`` is a hash of id and text.
+
+    ``masked``: tokens separated by one space, those with a digit replaced unless too little of the line would stay constant.
+    """
     rows = docs.select(F.xxhash64("doc_id", "text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.select("doc", "pos", _masked(F.col("line")).alias("masked")).filter("masked <> ''")
+    rows = rows.filter(F.col("line").rlike(r"[^\x09-\x0D\x20]"))
+    rows = _once(rows, "flat", F.trim(F.regexp_replace("line", r"[\x09-\x0D\x20]+", " "))).drop("line")
+    rows = _once(rows, "m", F.regexp_replace("flat", "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", ANY))
+    fields = (F.length("m") - F.length(F.replace(F.col("m"), F.lit(ANY), F.lit("")))) / len(ANY)
+    tokens = F.length("m") - F.length(F.replace(F.col("m"), F.lit(" "), F.lit(""))) + 1
+    rows = _once(rows, "masked", F.when(fields > (1 - CONSTANT) * tokens, F.col("flat")).otherwise(F.col("m")))
+    return rows.select("doc", "pos", "masked")
 
 
 def templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc, pos, line, template) hashes of every line, and the general templates (line, template, pattern)."""
     raw = lines(docs)
-    tokens = F.split("masked", " ")
-    leaf = F.xxhash64(F.size(tokens), F.slice(tokens, 1, LEADING))
-    keyed = raw.select("doc", "pos", F.xxhash64("masked").alias("line"), F.when(F.size(tokens) > LEADING, leaf).alias("leaf"), "masked")
+    n = F.length("masked") - F.length(F.replace(F.col("masked"), F.lit(" "), F.lit("")))
+    leaf = F.xxhash64(n, F.substring_index("masked", " ", LEADING))
+    keyed = raw.select("doc", "pos", F.xxhash64("masked").alias("line"), F.when(n >= LEADING, leaf).alias("leaf"), "masked")
     narrow = cut_lineage(keyed.drop("masked"))
     per_line = narrow.filter("leaf is not null").groupBy("leaf", "line").agg(F.count_distinct("doc").alias("docs"))
     open_leaves = cut_lineage(per_line.groupBy("leaf").agg(F.count("*").alias("m"), F.sum("docs").alias("d")).filter(f"m > 1 and d >= {LEAST_DOCS}").select("leaf"))
