@@ -72,7 +72,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             yield pd.DataFrame({"rep": batch["rep"], "n_shingles": [len(s) for s in sets], "members": [s.astype("<u8").tobytes() for s in sets]})
 
     src = docs.select(F.col("doc_id").alias("rep"), "text").filter("text is not null")
-    return src.join(wanted.select("rep").distinct(), "rep").mapInPandas(run, "rep long, n_shingles long, members binary")
+    # one plan at every size: a hash table of ids beside shuffled texts, which are never sorted
+    return src.join(wanted.select("rep").distinct().hint("shuffle_hash"), "rep").mapInPandas(run, "rep long, n_shingles long, members binary")
 
 
 def _linked(sets: list[np.ndarray]) -> np.ndarray:
@@ -268,6 +269,6 @@ def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
     Of rows equal in doc_id and text one stays; rows without doc_id all stay.
     """
     kept = cut_lineage(near_duplicates(docs, words).filter("doc_id is not null").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n")))
-    once = docs.join(kept.filter("kept and n = 1").select("doc_id"), "doc_id", "left_semi")
+    once = docs.join(kept.filter("kept and n = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
     again = docs.join(kept.filter("kept and n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return once.union(again).union(docs.filter("doc_id is null")).select(docs.columns)
