@@ -395,14 +395,15 @@ def g7(w):
 
 
 _PROBE_ACTIONS = ["s3:GetObject", "s3:PutObject", "iam:CreatePolicyVersion", "iam:PutUserPolicy", "cloudtrail:StopLogging", "sts:AssumeRole", "s3:ListBucket"]
-o.CTES["probe"] = (f"SELECT arn AS principal, unnest({_PROBE_ACTIONS}) AS action, 'arn:aws:s3:::b' || (ordinal % 1000) AS resource FROM principal "
+o.CTES["probe"] = (f"SELECT arn AS principal, unnest({_PROBE_ACTIONS}) AS action, 'arn:aws:s3:::b' || (ordinal % (SELECT count(*) FROM part)) AS resource FROM principal "
                    "UNION ALL SELECT principal, 'iam:CreatePolicyVersion', policy FROM attachment")
 _DECISION = "principal, action, resource, effect, conditional, boundary_limited, matched, potential_denies"
 
 
 def _probes(w: Workspace) -> DataFrame:
+    n = w.table("part").count()
     p = w.permissions["principal"].select(F.col("arn").alias("principal"), F.explode(F.array(*map(F.lit, _PROBE_ACTIONS))).alias("action"),
-                                          F.concat(F.lit("arn:aws:s3:::b"), (F.col("ordinal") % 1000).cast("string")).alias("resource"))
+                                          F.concat(F.lit("arn:aws:s3:::b"), (F.col("ordinal") % n).cast("string")).alias("resource"))
     return p.unionByName(w.permissions["attachment"].select("principal", F.lit("iam:CreatePolicyVersion").alias("action"), F.col("policy").alias("resource")))
 
 

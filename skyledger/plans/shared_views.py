@@ -1,7 +1,9 @@
 """Adapter views: the given tables read as audit events and permission tables.
 
 The view text is shared by both engines so that checks compare operators, not adapters. Placeholders in braces hold
-the few spellings that differ. Every row of the base tables takes part; ids only pick attribute values.
+the few spellings that differ. Every row of the base tables takes part; ids only pick attribute values. A user or role
+holds the policy of the part with its largest total quantity, summed over all order lines, so the permission graph
+grows in step with the accounts; likewise for the role that trusts a user.
 """
 
 from __future__ import annotations
@@ -26,6 +28,12 @@ def _role(c: str) -> str:
     return f"'{IAM}role/s' || ({c})"
 
 
+def _most(who: str, what: str) -> str:
+    """(who, what): for every ``who`` of all order lines, the ``what`` of its largest total quantity, ties to the larger key."""
+    return f"""(SELECT {who}, max(q * 1000000000000 + {what}) % 1000000000000 AS {what} FROM (
+  SELECT {who}, {what}, CAST(sum(l_quantity) AS BIGINT) AS q FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY {who}, {what}) s GROUP BY {who})"""
+
+
 VIEWS: dict[str, str] = {}
 
 VIEWS["ev"] = f"""
@@ -91,10 +99,10 @@ SELECT '{ACCOUNT}', {_role('s_suppkey')}, 's' || s_suppkey, 'role', 'unknown', C
 """
 VIEWS["attachment"] = f"""
 SELECT {_user('o_custkey')} AS principal, CAST(l_partkey AS BIGINT) AS ordinal, '{IAM}policy/p' || l_partkey AS policy
-FROM (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 50) a
+FROM {_most('o_custkey', 'l_partkey')} a
 UNION ALL
 SELECT {_role('l_suppkey')}, CAST(l_partkey AS BIGINT), '{IAM}policy/p' || l_partkey
-FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_quantity = 49 AND l_returnflag = 'R' AND l_discount >= 0.09) b
+FROM {_most('l_suppkey', 'l_partkey')} b
 """
 VIEWS["membership"] = f"SELECT {_user('c_custkey')} AS principal, CAST(0 AS BIGINT) AS ordinal, c_mktsegment AS group_name FROM customer"
 VIEWS["inline_policy"] = f"""
@@ -139,11 +147,11 @@ FROM part WHERE p_type = 'ECONOMY' AND p_brand NOT IN ('Brand#1', 'Brand#2')
 VIEWS["trust_statement"] = f"""
 SELECT '{ACCOUNT}' AS account, {_role('l_suppkey')} AS role, 2199023255552 + l_suppkey AS role_ord, CAST(o_custkey AS BIGINT) AS stmt_ord, 'Allow' AS effect, {{list}}('sts:AssumeRole') AS actions,
   {{list}}({_user('o_custkey')}) AS aws_principals, {{none}} AS service_principals
-FROM (SELECT DISTINCT o_custkey, l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 49) t
+FROM {_most('o_custkey', 'l_suppkey')} t
 UNION ALL
 SELECT '{ACCOUNT}', {_role('s_suppkey')}, 2199023255552 + s_suppkey, CAST(1000000000000 AS BIGINT), CASE WHEN s_nationkey = 7 THEN 'Deny' ELSE 'Allow' END, {{list}}('sts:*'),
-  {{list}}({_role('(7 * s_suppkey + 3) % n')}, CASE WHEN s_acctbal < 0 THEN '*' ELSE 'arn:aws:iam::999988887777:root' END), {{none}}
-FROM supplier, (SELECT count(*) AS n FROM supplier) c
+  {{list}}({_role('(7 * s_suppkey + 3) % (SELECT count(*) FROM supplier)')}, CASE WHEN s_acctbal < 0 THEN '*' ELSE 'arn:aws:iam::999988887777:root' END), {{none}}
+FROM supplier
 UNION ALL
 SELECT '{ACCOUNT}', {_role('s_suppkey')}, 2199023255552 + s_suppkey, CAST(1000000000001 AS BIGINT), 'Allow', {{list}}('sts:AssumeRole'), {{none}},
   {{list}}(CASE s_suppkey % 3 WHEN 0 THEN 'lambda.amazonaws.com' WHEN 1 THEN 'ec2.amazonaws.com' ELSE 'ecs.amazonaws.com' END) FROM supplier
