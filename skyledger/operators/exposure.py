@@ -24,11 +24,12 @@ def _scope(df: DataFrame) -> list[str]:
 # ---------------------------------------------------------------- event helpers
 
 def event_bytes(params: Column, bytes_transferred: Column | None = None) -> Column:
-    """First usable byte count among the known parameters, else 0."""
-    found = []
+    """First usable byte count among the known parameters, else 0. Strings count if they are digits only; numbers may have decimals."""
+    found, doc = [], F.try_parse_json(params)
     for name in fixed.BYTE_PARAMS:
-        text = json_field(params, name)
-        usable = text.rlike(r"^[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$")
+        value = F.try_variant_get(doc, f"$.{name}", "variant")
+        text = F.try_variant_get(value, "$", "string")
+        usable = F.when(F.schema_of_variant(value) == "STRING", text.rlike("^[0-9]+$")).otherwise(text.rlike(r"^[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"))
         found.append(F.when(usable, F.floor(text.cast("double")).cast("bigint")))
     first = [F.when(bytes_transferred >= 0, bytes_transferred)] if bytes_transferred is not None else []
     return F.coalesce(*first, *found, F.lit(0).cast("bigint"))
