@@ -34,11 +34,13 @@ def lines(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.xxhash64("doc_id", "text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     rows = rows.filter(F.col("line").rlike(r"[^\x09-\x0D\x20]"))
-    rows = _once(rows, "flat", F.trim(F.regexp_replace("line", r"[\x09-\x0D\x20]+", " "))).drop("line")
-    rows = _once(rows, "m", F.regexp_replace("flat", "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", ANY))
+    # the replacements touch few lines; the others pass a plain search
+    odd, digit = F.col("line").rlike(r"[\x09-\x0D]|\x20\x20"), F.col("flat").rlike("[0-9]")
+    rows = _once(rows, "flat", F.trim(F.when(odd, F.regexp_replace("line", r"[\x09-\x0D\x20]+", " ")).otherwise(F.col("line")))).drop("line")
+    rows = _once(rows, "m", F.when(digit, F.regexp_replace("flat", "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", ANY)).otherwise(F.col("flat")))
     fields = (F.length("m") - F.length(F.replace(F.col("m"), F.lit(ANY), F.lit("")))) / len(ANY)
     tokens = F.length("m") - F.length(F.replace(F.col("m"), F.lit(" "), F.lit(""))) + 1
-    rows = _once(rows, "masked", F.when(fields > (1 - CONSTANT) * tokens, F.col("flat")).otherwise(F.col("m")))
+    rows = _once(rows, "masked", F.when((F.col("m") != F.col("flat")) & (fields > (1 - CONSTANT) * tokens), F.col("flat")).otherwise(F.col("m")))
     return rows.select("doc", "pos", "masked")
 
 
