@@ -10,6 +10,9 @@ their lines between the same neighbours, so they are left to document deduplicat
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -35,7 +38,8 @@ def lines(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.xxhash64("doc_id", "text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     rows = rows.filter(F.col("line").rlike(r"[^\x09-\x0D\x20]"))
     # the replacements touch few lines; the others pass a plain search
-    odd, digit = F.col("line").rlike(r"[\x09-\x0D]|\x20\x20"), F.col("flat").rlike("[0-9]")
+    odd = reduce(or_, [F.contains("line", F.lit(c)) for c in ("  ", "\t", "\r", "\x0b", "\x0c")])
+    digit = F.col("flat").rlike("[0-9]")
     rows = _once(rows, "flat", F.trim(F.when(odd, F.regexp_replace("line", r"[\x09-\x0D\x20]+", " ")).otherwise(F.col("line")))).drop("line")
     rows = _once(rows, "m", F.when(digit, F.regexp_replace("flat", "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", ANY)).otherwise(F.col("flat")))
     fields = (F.length("m") - F.length(F.replace(F.col("m"), F.lit(ANY), F.lit("")))) / len(ANY)
@@ -51,10 +55,13 @@ def templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     leaf = F.xxhash64(n, F.substring_index("masked", " ", LEADING))
     keyed = raw.select("doc", "pos", F.xxhash64("masked").alias("line"), F.when(n >= LEADING, leaf).alias("leaf"), "masked")
     narrow = cut_lineage(keyed.drop("masked"))
-    per_line = narrow.filter("leaf is not null").groupBy("leaf", "line").agg(F.count_distinct("doc").alias("docs"))
-    open_leaves = cut_lineage(per_line.groupBy("leaf").agg(F.count("*").alias("m"), F.sum("docs").alias("d")).filter(f"m > 1 and d >= {LEAST_DOCS}").select("leaf"))
-    text = keyed.join(open_leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("masked").alias("masked"), F.count_distinct("doc").alias("docs"))
-    text = cut_lineage(text)
+    per_line = (narrow.filter("leaf is not null").groupBy("leaf", "line", "doc").agg(F.min("pos").alias("pos"))
+                .groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min_by("pos", "doc").alias("pos"), F.min("doc").alias("doc")))
+    open_leaves = per_line.groupBy("leaf").agg(F.count("*").alias("m"), F.sum("docs").alias("d")).filter(f"m > 1 and d >= {LEAST_DOCS}")
+    # one place to read each line of an open leaf at; only documents with such a place are split again
+    places = cut_lineage(per_line.join(open_leaves.select("leaf"), "leaf", "left_semi"))
+    holders = docs.withColumn("_doc", F.xxhash64("doc_id", "text")).join(places.select(F.col("doc").alias("_doc")), "_doc", "left_semi")
+    text = cut_lineage(lines(holders).join(places, ["doc", "pos"]).groupBy("leaf", "line").agg(F.first("masked").alias("masked"), F.first("docs").alias("docs")))
     at = text.select("leaf", "line", "docs", F.posexplode(F.split("masked", " ")).alias("i", "token"))
     shared = at.groupBy("leaf", "i", "token").agg(F.sum("docs").alias("d")).filter(f"d >= {LEAST_DOCS}").select("leaf", "i", "token", F.lit(True).alias("constant"))
     constant = at.join(shared, ["leaf", "i", "token"], "left")
@@ -72,8 +79,9 @@ def recurring(rows: DataFrame) -> DataFrame:
     """(template, docs, contexts) of the templates to drop."""
     w = Window.partitionBy("doc").orderBy("pos")
     context = F.xxhash64(F.coalesce(F.lag("template").over(w), F.lit(0)), F.coalesce(F.lead("template").over(w), F.lit(0)))
-    once = rows.distinct().select("template", "doc", "pos", context.alias("context")).groupBy("template", "doc").agg(F.min(F.struct("pos", "context")).alias("f"))
-    per = once.groupBy("template", F.col("f.context").alias("context")).agg(F.count("*").alias("n")).groupBy("template").agg(
+    each = rows.repartition("doc").distinct()  # rows that repeat a document; the window needs the same partitioning
+    once = each.select("template", "doc", "pos", context.alias("context")).groupBy("template", "doc").agg(F.min_by("context", "pos").alias("context"))
+    per = once.groupBy("template", "context").agg(F.count("*").alias("n")).groupBy("template").agg(
         F.sum("n").alias("docs"), F.count("*").alias("contexts"))
     return per.filter(f"docs >= {LEAST_DOCS} and 2 * contexts >= docs")
 
@@ -89,9 +97,9 @@ def cleaned(docs: DataFrame) -> DataFrame:
     docs = docs.select(columns)
     rows, _ = templates(docs)
     drop = recurring(rows).select("template", F.lit(True).alias("drop"))
-    flagged = rows.distinct().join(drop, "template", "left_semi").select("doc", "pos")
+    flagged = rows.join(drop, "template", "left_semi").select("doc", "pos")
     # the flags of all lines of a document, in order, for documents that lose any
-    gone = flagged.groupBy("doc").agg(F.sort_array(F.collect_list("pos")).alias("_gone"), F.count("*").alias("_n"))
+    gone = flagged.groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("_gone")).withColumn("_n", F.size("_gone"))
     keyed = docs.withColumn("_doc", F.xxhash64("doc_id", "text"))
     joined = keyed.join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left")
     parts = F.split("text", "\n")
