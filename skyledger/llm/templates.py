@@ -60,7 +60,8 @@ def templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     open_leaves = per_line.groupBy("leaf").agg(F.count("*").alias("m"), F.sum("docs").alias("d")).filter(f"m > 1 and d >= {LEAST_DOCS}")
     # one place to read each line of an open leaf at; only documents with such a place are split again
     places = cut_lineage(per_line.join(open_leaves.select("leaf"), "leaf", "left_semi"))
-    holders = docs.withColumn("_doc", F.xxhash64("doc_id", "text")).join(places.select(F.col("doc").alias("_doc")), "_doc", "left_semi")
+    holders = docs.withColumn("_doc", F.xxhash64("doc_id", "text")).join(
+        places.select(F.col("doc").alias("_doc")).distinct().hint("shuffle_hash"), "_doc", "left_semi")  # one plan at every size; texts are never sorted
     text = cut_lineage(lines(holders).join(places, ["doc", "pos"]).groupBy("leaf", "line").agg(F.first("masked").alias("masked"), F.first("docs").alias("docs")))
     at = text.select("leaf", "line", "docs", F.posexplode(F.split("masked", " ")).alias("i", "token"))
     shared = at.groupBy("leaf", "i", "token").agg(F.sum("docs").alias("d")).filter(f"d >= {LEAST_DOCS}").select("leaf", "i", "token", F.lit(True).alias("constant"))
@@ -101,7 +102,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     # the flags of all lines of a document, in order, for documents that lose any
     gone = flagged.groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("_gone")).withColumn("_n", F.size("_gone"))
     keyed = docs.withColumn("_doc", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(gone.withColumnRenamed("doc", "_doc"), "_doc", "left")
+    joined = keyed.join(gone.withColumnRenamed("doc", "_doc").hint("shuffle_hash"), "_doc", "left")
     parts = F.split("text", "\n")
     # cut the lines between one dropped place and the next: linear in lines and drops
     ends = F.concat("_gone", F.array(F.size(parts)))
