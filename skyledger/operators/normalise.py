@@ -53,10 +53,15 @@ def target_of(resources: Column, params: Column) -> Column:
 
 
 def _time(text: Column) -> tuple[Column, Column]:
-    ts = F.to_timestamp(text)
+    ts = F.try_to_timestamp(text)
     return ts.alias("ts"), F.unix_micros(ts).alias("us")
 
 
+def without_time(events: DataFrame) -> DataFrame:
+    """Quarantine: events whose time could not be read. They carry null ``ts`` and ``us`` and stay among the events."""
+    return events.filter(F.col("us").isNull())
+
+
 def normalise_audit(raw: DataFrame) -> DataFrame:
     """One projection from audit records to events."""
     r, ident = F.col("record"), F.col("record.userIdentity")

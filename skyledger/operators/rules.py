@@ -156,15 +156,36 @@ def match_field(field: str, value, derived: dict[str, Column]) -> Column:
 
 
 def canonical_params(params: Column, event_source: Column, bytes_transferred: Column) -> Column:
-    """Parameters as one JSON text with ``, `` and ``: `` separators, merged with source and byte count."""
+    """Parameters as one JSON text with ``, `` and ``: `` separators, merged with source and byte count.
+
+    Keys keep their order and numbers their text; characters above 127 are written as ``\\u`` escapes.
+    """
     extra = F.concat(F.lit('"__event_source": '), F.coalesce(F.concat(F.lit('"'), event_source, F.lit('"')), F.lit("null")),
                      F.coalesce(F.concat(F.lit(', "bytesTransferred": '), bytes_transferred.cast("string")), F.lit("")))
-    body = F.coalesce(F.to_json(F.try_parse_json(params)), F.lit("{}"))
-    # a separator is a comma or colon outside string literals
-    spaced = F.regexp_replace(body, r'("(?:[^"\\]|\\.)*")|([,:])', "$1$2 ")
-    spaced = F.regexp_replace(spaced, r'("(?:[^"\\]|\\.)*") ', "$1")
+    is_object = F.schema_of_variant(F.try_parse_json(params)).startswith("OBJECT")
+    body = F.when(is_object, params).otherwise("{}")
+    # white space, commas and colons count only outside string literals
+    literal = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")'
+    spaced = F.regexp_replace(body, literal + r"|[ \t\r\n]+", "$1")
+    spaced = F.regexp_replace(spaced, literal + "|([,:])", "$1$2 ")
+    spaced = F.regexp_replace(spaced, literal + " ", "$1")
     inner = F.substring(spaced, F.lit(2), F.length(spaced) - 2)
-    return F.concat(F.lit("{"), F.when(F.length(inner) > 0, F.concat(inner, F.lit(", "))).otherwise(""), extra, F.lit("}"))
+    return escaped(F.concat(F.lit("{"), F.when(F.length(inner) > 0, F.concat(inner, F.lit(", "))).otherwise(""), extra, F.lit("}")))
+
+
+def escaped(text: Column) -> Column:
+    """JSON text with characters above 127 as ``\\u`` escapes, those beyond the basic plane as surrogate pairs."""
+    def unit(code: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(code), 4, "0")))
+
+    def one(char: Column) -> Column:
+        code = F.ascii(char)
+        beyond = code - 0x10000
+        pair = F.concat(unit(F.shiftright(beyond, 10) + 0xD800), unit(beyond.bitwiseAND(0x3FF) + 0xDC00))
+        return F.when(code < 128, char).when(code < 0x10000, unit(code)).otherwise(pair)
+
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(chars, one), "")).otherwise(text)
 
 
 def match_block(block, derived: dict[str, Column]) -> Column:

@@ -79,29 +79,40 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 # ---------------------------------------------------------------- keyed snapshots
 
-def upsert(changes: DataFrame, root: str, key: str, version: str) -> str:
+def upsert(changes: DataFrame, root: str, key: str, version: str, epoch: str | None = None) -> str:
     """Merge ``changes`` into the latest snapshot below ``root``; the newest ``version`` per key wins.
 
-    Every merge writes a new snapshot folder and then moves the pointer, so readers and retries see whole snapshots.
+    Every merge writes a new snapshot folder and then a pointer with the next number, so readers and retries see whole
+    snapshots. An ``epoch`` (name of a batch of a stream) that is already merged is not merged again. One writer at a time.
     """
     spark = changes.sparkSession
-    current = latest_snapshot(spark, root)
+    done = _merges(spark, root)
+    again = None if done is None or epoch is None else done.filter(F.col("epoch") == epoch).first()
+    if again:
+        return again["path"]
+    last = None if done is None else done.orderBy(F.desc("no")).first()
+    current, no = (last["path"], last["no"] + 1) if last else (None, 0)
     merged = changes if current is None else spark.read.parquet(current).unionByName(changes, allowMissingColumns=True)
     rest = [c for c in merged.columns if c != key]
     best = merged.groupBy(key).agg(F.max_by(F.struct(*rest), version).alias("r")).select(key, "r.*")
     target = f"{root.rstrip('/')}/snapshot-{uuid.uuid4().hex}"
     best.write.parquet(target)
-    spark.createDataFrame([(target,)], "path STRING").coalesce(1).write.mode("append").json(f"{root.rstrip('/')}/log")
+    spark.createDataFrame([(no, epoch, target)], MERGE).coalesce(1).write.mode("append").json(f"{root.rstrip('/')}/log")
     return target
 
 
-def latest_snapshot(spark: SparkSession, root: str) -> str | None:
+MERGE = "no LONG, epoch STRING, path STRING"
+
+
+def _merges(spark: SparkSession, root: str) -> DataFrame | None:
+    """(no, epoch, path): one row per merge, or None before the first."""
     log = f"{root.rstrip('/')}/log"
-    if not _exists(spark, log):
-        return None
-    # one row per merge
-    row = spark.read.schema("path STRING").json(log).select("path", F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_name").alias("n")).orderBy(
-        F.desc("t"), F.desc("n")).first()
+    return spark.read.schema(MERGE).json(log) if _exists(spark, log) else None
+
+
+def latest_snapshot(spark: SparkSession, root: str) -> str | None:
+    done = _merges(spark, root)
+    row = None if done is None else done.orderBy(F.desc("no")).first()
     return row["path"] if row else None
 
 

@@ -34,10 +34,11 @@ def read_config_snapshots(spark: SparkSession, path: str) -> dict[str, DataFrame
 
 
 def read_geo_table(spark: SparkSession, path: str) -> DataFrame:
-    """``{ip: {asn, geo}}`` files as ``geo(src_ip, asn, geo)``."""
-    files = spark.read.text(path, wholetext=True)
+    """``{ip: {asn, geo}}`` files as ``geo(src_ip, asn, geo)``, one row per address; later files win."""
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     table = F.from_json("value", "map<string, struct<asn: string, geo: string>>")
-    return files.select(F.explode(table).alias("src_ip", "v")).select("src_ip", "v.asn", "v.geo")
+    rows = files.select("path", F.explode(table).alias("src_ip", "v"))
+    return rows.groupBy("src_ip").agg(F.max_by("v", "path").alias("v")).select("src_ip", "v.asn", "v.geo")
 
 
 def read_rules(path: str | None = None) -> list[dict]:

@@ -147,9 +147,9 @@ def start_case_feed(changed: DataFrame, root: str, checkpoint: str, key: str = "
     """Keyed case rows kept up to date: each micro-batch is merged into the latest snapshot."""
     from skyledger.sources.sinks import upsert
 
-    def merge(batch: DataFrame, _epoch: int) -> None:
+    def merge(batch: DataFrame, epoch: int) -> None:
         if not batch.isEmpty():
-            upsert(batch, root, key, version)
+            upsert(batch, root, key, version, f"{checkpoint}#{epoch}")
 
     return changed.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
