@@ -4,8 +4,10 @@ A line is parsed by a tree of fixed depth: its number of tokens, then its ``LEAD
 variable fields. In a leaf, a token is constant where documents share it at its place, and every other
 place is a variable field too, as long as most of the line stays constant. What remains is the line's template.
 
-A template recurs if it stands in several documents and mostly between different lines. Copies of one document repeat
-their lines between the same neighbours, so they are left to document deduplication. Recurring lines are dropped.
+A template recurs if it stands in ``LEAST_DOCS`` contexts or more, however many copies each has. A context is the pair of
+lines around a run of lines that several documents share, so headers and footers of several lines go as a whole. Copies
+of one document have one context, as have near copies (documents with more than ``COPY`` of their lines shared); they are left
+to document deduplication. Recurring lines are dropped.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql.window import Window
 
 from skyledger.session import cut_lineage
 
-LEADING, LEAST_DOCS, CONSTANT = 3, 3, 0.7
+LEADING, LEAST_DOCS, CONSTANT, COPY = 3, 3, 0.7, 0.75
 ANY = "<*>"
 #: Columns of this step; the input's own of these names are not passed on.
 RESERVED = ("_doc", "_gone", "_n", "n_lines", "n_dropped")
@@ -77,14 +79,23 @@ def templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def recurring(rows: DataFrame) -> DataFrame:
-    """(template, docs, contexts) of the templates to drop."""
-    w = Window.partitionBy("doc").orderBy("pos")
-    context = F.xxhash64(F.coalesce(F.lag("template").over(w), F.lit(0)), F.coalesce(F.lead("template").over(w), F.lit(0)))
-    each = rows.repartition("doc").distinct()  # rows that repeat a document; the window needs the same partitioning
-    once = each.select("template", "doc", "pos", context.alias("context")).groupBy("template", "doc").agg(F.min_by("context", "pos").alias("context"))
-    per = once.groupBy("template", "context").agg(F.count("*").alias("n")).groupBy("template").agg(
-        F.sum("n").alias("docs"), F.count("*").alias("contexts"))
-    return per.filter(f"docs >= {LEAST_DOCS} and 2 * contexts >= docs")
+    """(template, contexts) of the templates to drop."""
+    shared = rows.groupBy("template", "doc").agg(F.lit(1)).groupBy("template").agg(F.count("*").alias("docs")).filter(f"docs >= {LEAST_DOCS}")
+    flagged = rows.distinct().join(shared, "template", "left")  # rows that repeat a document
+    own = F.when(F.col("docs").isNull(), F.col("template"))
+    each = flagged.select("template", "doc", "pos", "docs", own.alias("own")).repartition("doc")
+    ahead = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy("doc").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("doc")
+    none = F.lit(0).cast("bigint")
+    around = F.xxhash64(F.coalesce(F.last("own", True).over(ahead), none), F.coalesce(F.last("own", True).over(behind), none))
+    copy = F.count("docs").over(whole) > COPY * F.count("*").over(whole)
+    common = F.max(F.struct("docs", "template")).over(whole)["template"]  # near copies of a document have the same one
+    context = F.when(copy, F.xxhash64(common)).otherwise(around)
+    once = each.select("template", "doc", "pos", "docs", context.alias("context")).filter("docs is not null").groupBy("template", "doc").agg(
+        F.min_by("context", "pos").alias("context"))
+    per = once.groupBy("template", "context").agg(F.lit(1)).groupBy("template").agg(F.count("*").alias("contexts"))
+    return per.filter(f"contexts >= {LEAST_DOCS}")
 
 
 def cleaned(docs: DataFrame) -> DataFrame:

@@ -191,6 +191,22 @@ def test_recurring_lines_go(docs, none):
     assert templates.cleaned(none).count() == 0
 
 
+def test_copies_and_long_passages_do_not_keep_recurring_lines(spark):
+    footer = ["All rights reserved by the owner", "Terms of use apply to everybody", "Contact the desk for help"]
+    line = lambda: " ".join(sentence(9))
+    copied = [line(), "A line between different others", line(), line()]
+    edited = [line() for _ in range(10)]
+    kept, lost = [], []
+    for _ in range(6):
+        a, b, c, d, e, f = (line() for _ in range(6))
+        lost += [([a, "A line between different others", b], [a, b]), ([c, d, *footer], [c, d]), ([e, *footer, f], [e, f])]
+        kept.append([*edited[:4], line(), *edited[5:]])  # near copies stay
+    lost += [(copied, [copied[0], *copied[2:]])] * 40
+    rows = [(i, "\n".join(t), "\n".join(left)) for i, (t, left) in enumerate([*lost, *((k, k) for k in kept)])]
+    got = {r["doc_id"]: r["text"] for r in templates.cleaned(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert got == {i: left for i, _, left in rows}
+
+
 def test_identity_terms_do_not_carry_toxicity(spark):
     rows = []
     for i in range(600):
