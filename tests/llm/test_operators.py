@@ -155,6 +155,17 @@ def test_repeated_passages_are_found(docs, none):
     assert windows.repeated_passages(none)[0].count() == 0
 
 
+def test_passages_are_whole_and_none_behind_a_header_is_lost(spark):
+    fresh = lambda n: [f"x{i}" for i in RNG.integers(0, 10**9, n)]
+    header, long, late = fresh(40), fresh(1000), fresh(80)
+    texts = [long + fresh(20), fresh(30) + long, header + fresh(300) + late + fresh(300) + late[::-1], header + fresh(300) + late + fresh(300) + late[::-1]]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows, found = windows.repeated_passages(table)
+    got = sorted((r["rep"], r["other"], r["start"], r["other_start"], r["shingles"]) for r in found.collect())
+    assert got == [(0, 1, 0, 30, 996), (1, 0, 30, 0, 996), (2, 3, 340, 340, 76), (2, 3, 720, 720, 76), (3, 2, 340, 340, 76), (3, 2, 720, 720, 76)]
+    assert sorted((r["doc_id"], r["component_id"], r["n_links"], r["n_passages"]) for r in rows.collect()) == [(0, 0, 1, 1), (1, 0, 1, 1), (2, 2, 1, 2), (3, 2, 1, 2)]
+
+
 def test_mixture_meets_targets(docs, none):
     tables = mixture.mix(docs, block=16)
     rows = tables["taken"].collect()
