@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.llm import forest, hashtree, hnsw, maxscore, mixture, pack, pii, templates, toxicity, windows
+from skyledger.llm import forest, hashtree, hnsw, induced, maxscore, mixture, pack, pairbound, pii, pivotal, templates, toxicity, windows
 from skyledger.llm.common import read, tokenizer_file
 
 
@@ -51,8 +51,26 @@ def op10_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(read(spark, sf_dir, "documents"))
 
 
+def op11_pair_bound_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return pairbound.top_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=20)
+
+
+def op12_pivotal_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its commonest near word and the root of its forms."""
+    return pivotal.variants(read(spark, sf_dir, "documents"))
+
+
+def op13_induced_sorting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what strings of 100 bytes that start earlier remove from it."""
+    rows = induced.without_repeats(read(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_hierarchical_packing, op2_maxscore, op3_compact_windows, op4_lsh_forest, op5_mixture, op6_hnsw,
-                                op7_template_tree, op8_hash_tree, op9_counterfactual_toxicity, op10_weak_supervision_pii)}
+                                op7_template_tree, op8_hash_tree, op9_counterfactual_toxicity, op10_weak_supervision_pii,
+                                op11_pair_bound_maxscore, op12_pivotal_grams, op13_induced_sorting)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
@@ -103,4 +121,48 @@ SELECT d.doc_id, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.te
     CASE WHEN d.text IS NULL THEN NULL ELSE md5(coalesce(left_text, '')) END AS text_md5
 FROM documents d LEFT JOIN kept USING (doc_id, text) LEFT JOIN lost USING (doc_id, text)"""
 
-ORACLE = {"op7_template_tree": _LINES, "op2_maxscore": _TOP, "op4_lsh_forest": _NEAR}
+_RANKED = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+held AS (SELECT r, doc_id, t, CAST(len(t) AS BIGINT) AS n FROM d WHERE len(t) > 0),
+total AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS l FROM held),
+i AS (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+ask AS (SELECT q, item_id, term, count(*) AS c FROM (SELECT q, item_id, unnest(t) AS term FROM i) GROUP BY ALL),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(t) AS term FROM held) SEMI JOIN ask USING (term) GROUP BY ALL),
+df AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(nn) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term),
+hit AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // l))) AS s FROM tf JOIN df USING (term), total),
+scored AS (SELECT q, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id, CAST(sum(c * s) AS BIGINT) AS score FROM hit JOIN ask USING (term) WHERE doc_id IS NOT NULL GROUP BY q, r HAVING sum(c * s) > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 20"""
+
+#: crc32 byte by byte over a table of 256 values; words that share a word less one letter at the same place, or where one is that of the other.
+_SPELT = r"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS tab FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256))),
+run AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+once AS (SELECT doc_id, run, count(*) AS c, hex(encode(concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', run))) AS x FROM run WHERE length(run) >= 6 GROUP BY doc_id, run),
+summed AS (SELECT run, c, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(CAST(len(x) AS BIGINT) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+    lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), CAST(4294967295 AS BIGINT)) AS h FROM once, crc),
+slipped AS (SELECT c, CASE WHEN h % 199 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word FROM summed),
+words AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+less AS MATERIALIZED (SELECT word, n, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT x.word AS a, y.word AS b, y.n FROM less x JOIN less y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+    UNION SELECT x.word, w.word, w.n FROM less x JOIN words w ON x.rest = w.word UNION SELECT w.word, x.word, x.n FROM less x JOIN words w ON x.rest = w.word),
+best AS (SELECT a, count(*) AS n_near, first(b ORDER BY n DESC, encode(b)) AS b, max(n) AS bn FROM near GROUP BY a),
+form AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN bn >= 5 * n THEN b END AS form, CASE WHEN bn >= 5 * n THEN bn END AS form_n FROM words LEFT JOIN best ON a = word),
+walk AS (SELECT word, word AS at, form AS next FROM form UNION ALL SELECT walk.word, walk.next, form.form FROM walk JOIN form ON form.word = walk.next)
+SELECT form.word, n, n_near, form, form_n, walk.at AS root FROM form JOIN walk ON walk.word = form.word AND walk.next IS NULL"""
+
+#: All strings of 100 bytes as hex digits, told apart by two hashes; covered bytes from counts of starts and ends.
+_REPEATS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+size AS (SELECT doc_id, x, CAST(len(x) AS BIGINT) // 2 AS n FROM d),
+w AS (SELECT doc_id, p, md5_number(substr(x, 2 * p + 1, 200)) AS h FROM (SELECT doc_id, x, unnest(range(n - 99)) AS p FROM size WHERE n >= 100)),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+runs AS (SELECT doc_id, min(p) AS s, max(p) + 100 AS e FROM (SELECT doc_id, p, sum(CASE WHEN p > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS g
+    FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM again)) GROUP BY doc_id, g),
+parts AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS s, s AS e, e - s AS cut FROM runs
+    UNION ALL SELECT doc_id, max(e), CAST(9000000000000 AS BIGINT), NULL FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * s + 1, 2 * (least(parts.e, n) - s)), '' ORDER BY s) AS k, sum(cut) AS removed, count(cut) AS spans FROM parts JOIN size USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, x))) AS kept_sha256
+FROM size LEFT JOIN kept USING (doc_id)"""
+
+ORACLE = {"op11_pair_bound_maxscore": _RANKED, "op12_pivotal_grams": _SPELT, "op13_induced_sorting": _REPEATS, "op7_template_tree": _LINES, "op2_maxscore": _TOP, "op4_lsh_forest": _NEAR}
