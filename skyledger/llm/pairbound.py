@@ -201,10 +201,12 @@ def search(lists: dict, common: dict, joint: dict, single: dict, ids: np.ndarray
     rest = np.append(np.cumsum([b for b, _ in order][::-1])[::-1], 0)
     acc = np.zeros(len(ids), np.int64)
     if len(order) and least == 0:
-        # a first threshold: documents that hold both terms of the strongest pair, else the strongest term, scored in full
-        first = order[0][1]
-        pair = tuple(t for t, _ in first)
-        seed = np.asarray(common.get(pair, lists[pair[0]][0]))[:8 * k]
+        # a first threshold: documents that hold both terms of the strongest pair, where they are too few the strongest term, scored in full
+        pair = tuple(t for t, _ in order[0][1])
+        seed = common.get(pair, ())[:8 * k]
+        if len(seed) < k:
+            place, score = lists[max(pair, key=single.__getitem__)]
+            seed = place[np.argsort(-score, kind="stable")[:8 * k]]
         scores = np.zeros(len(seed), np.int64)
         for t, c in terms:
             place, score = lists[t]
@@ -283,6 +285,8 @@ def top_documents(docs: DataFrame, items: DataFrame, k: int = 20) -> DataFrame:
         after = block[-1]["row"]
         counts = [Counter(terms_of(r["text"])) for r in block]
         asked = sorted(set().union(*counts))
+        if not asked:
+            continue
         df = _frequencies(shards, asked)
         number = {t: i for i, t in enumerate(asked)}
         weights = [weight(n, df[t]) if df[t] else 0 for t in asked]

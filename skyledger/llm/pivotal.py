@@ -60,7 +60,8 @@ def counted(docs: DataFrame) -> DataFrame:
                 if len(found) > _HELD:
                     yield frame(found)
                     found.clear()
-        yield frame(found)
+        if found:
+            yield frame(found)
 
     def frame(found: Counter) -> pd.DataFrame:
         return pd.DataFrame({"word": [w.decode("latin-1") for w in found], "n": list(found.values())}).astype({"n": "int64"})
