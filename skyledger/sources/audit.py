@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyledger.functions.columns import json_list
+from skyledger.session import cut_lineage
+from skyledger.sources.split_json import file_fragments, object_fragments, open_object, split_objects
 
 AUDIT_RECORD = """
     eventVersion STRING, eventID STRING, eventTime STRING, eventSource STRING, eventName STRING,
@@ -51,32 +53,32 @@ def _raw(df: DataFrame, record: Column, prefix: Column, event_id: Column, source
     )
 
 
+def _records(objects: DataFrame) -> DataFrame:
+    """(path, pos, rec) of the delivery documents ``{"Records": [...]}`` among split objects."""
+    return objects.filter("section = 'Records' AND item IS NOT NULL").select("path", "pos", parse_audit(F.col("item")).alias("rec"))
+
+
 def read_audit_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Delivery files ``{"Records": [...]}``, plain or compressed (codec chosen from the file extension).
 
-    ``path``/``pos`` keep arrival order: file path, then position inside the file.
+    A plain file is read by as many tasks as it has ranges. ``path``/``pos`` keep arrival order: file path, then position in the file.
     """
-    files = (spark.read.schema(f"Records ARRAY<STRUCT<{_struct_body(AUDIT_RECORD)}>>")
-             .option("multiLine", True).option("recursiveFileLookup", True).json(path)
-             .select("Records", F.col("_metadata.file_path").alias("path")))
-    rows = files.select("path", F.posexplode("Records").alias("pos", "rec"))
-    return _raw(rows, F.col("rec"), F.col("path"), F.col("rec.eventID"), "cloudtrail")
+    return _raw(_records(split_objects(file_fragments(spark, path))), F.col("rec"), F.col("path"), F.col("rec.eventID"), "cloudtrail")
 
 
-def _struct_body(ddl: str) -> str:
-    """Column DDL to STRUCT body: top-level ``name TYPE`` becomes ``name: TYPE``."""
-    from pyspark.sql.types import StructType
-    return StructType.fromDDL(ddl).simpleString()[len("struct<"):-1]
+def read_delivered(spark: SparkSession, path: str | list[str], opener: Callable = open_object) -> DataFrame:
+    """Delivery objects below ``path``, gzip or plain as their content says, whatever they are named.
+
+    Only names are listed; each object is streamed by an executor, so neither it nor its inflated text is held whole.
+    """
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    return _raw(_records(split_objects(object_fragments(names, "path", opener))), F.col("rec"), F.col("path"), F.col("rec.eventID"), "cloudtrail")
 
 
 def read_finding_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Finding files: a bare JSON array or ``{"Findings": [...]}``; anything else holds none."""
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    text = F.ltrim("value")
-    items = (F.when(text.startswith("["), F.from_json("value", "array<string>"))
-             .otherwise(F.from_json("value", "Findings ARRAY<STRING>")["Findings"]))
-    rows = files.select("path", F.posexplode(items).alias("pos", "item")).withColumn("rec", parse_finding(F.col("item")))
-    return _raw(rows, F.col("rec"), F.col("path"), F.col("rec.Id"), "guardduty")
+    objects = split_objects(file_fragments(spark, path)).filter("coalesce(section, 'Findings') = 'Findings' AND item IS NOT NULL")
+    return _raw(objects.select("path", "pos", parse_finding(F.col("item")).alias("rec")), F.col("rec"), F.col("path"), F.col("rec.Id"), "guardduty")
 
 
 ENVELOPE = "`detail-type` STRING, detail STRING, id STRING, eventID STRING, Records ARRAY<STRING>"
@@ -117,12 +119,37 @@ def notified_objects(messages: DataFrame, body: str = "body") -> DataFrame:
             .select(F.col("s3.bucket.name").alias("bucket"), F.col("s3.object.key").alias("key")))
 
 
-def read_notified(spark: SparkSession, objects: Iterable[tuple[str, str]], root: str = "s3a://") -> DataFrame:
-    """Read announced delivery objects of one batch with the provenance ``s3://bucket/key#id``."""
-    paths = [f"{root}{bucket}/{key}" for bucket, key in objects]
-    raw = read_audit_files(spark, paths)
-    plain = F.regexp_replace("path", "^.*?" + "".join("\\" + c if not c.isalnum() else c for c in root.split(":")[-1].rstrip("/")) + "/", "s3://")
-    return raw.withColumn("raw_ref", F.concat(plain, F.lit("#"), F.coalesce("record.eventID", F.lit("unknown"))))
+def read_notified(objects: DataFrame, root: str = "s3://", opener: Callable = open_object) -> DataFrame:
+    """Records of announced delivery objects (bucket, key) with the provenance ``s3://bucket/key#id``.
+
+    The executors fetch the objects; no name passes through the driver. An object announced twice is read once.
+    """
+    uri = F.concat(F.lit(root), "bucket", F.lit("/"), "key").alias("uri")
+    once = cut_lineage(objects.select("bucket", "key").distinct().withColumn("uri", uri))
+    rows = _records(split_objects(object_fragments(once, "uri", opener))).join(once, F.col("path") == F.col("uri"))
+    return _raw(rows, F.col("rec"), F.concat(F.lit("s3://"), "bucket", F.lit("/"), "key"), F.col("rec.eventID"), "cloudtrail")
+
+
+def land_notified(messages: DataFrame, out: str, epoch: int | str, body: str = "body", root: str = "s3://", opener: Callable = open_object) -> DataFrame:
+    """Land the records of one batch of messages below ``out`` and note the objects read; for ``foreachBatch`` too.
+
+    Objects of other batches in the manifest are not read again. Records are written before the manifest, both in a folder of the batch
+    that a rerun overwrites, so a batch that was cut off or is replayed adds nothing twice. Returns the landed records.
+    """
+    spark = messages.sparkSession
+    records, manifest = f"{out.rstrip('/')}/records", f"{out.rstrip('/')}/manifest"
+    wanted = notified_objects(messages, body).distinct()
+    schema = "bucket string, key string, batch string"
+    try:
+        done = spark.read.schema(schema).parquet(manifest).filter(F.col("batch") != str(epoch))
+        done.isEmpty()
+    except AnalysisException:  # the first batch
+        done = spark.createDataFrame([], schema)
+    wanted = cut_lineage(wanted.join(done, ["bucket", "key"], "left_anti"))
+    rows = read_notified(wanted, root, opener).unionByName(records_from_messages(messages, body), allowMissingColumns=True)
+    rows.write.mode("overwrite").parquet(f"{records}/batch={epoch}")
+    wanted.write.mode("overwrite").parquet(f"{manifest}/batch={epoch}")
+    return spark.read.parquet(f"{records}/batch={epoch}")
 
 
 def records_from_json_column(rows: DataFrame, column: str = "CloudTrailEvent", id_column: str = "EventId") -> DataFrame:
@@ -137,11 +164,7 @@ def records_from_json_column(rows: DataFrame, column: str = "CloudTrailEvent", i
 
 def read_scenarios(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Scenario fixtures (``{"Records": [...]}`` or a bare array), one scenario per file name."""
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
-    items = F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(
-        F.from_json("value", "Records STRING")["Records"])
-    return (files.select(F.regexp_replace("file", r"\.json$", "").alias("scenario"), "file",
-                         F.posexplode(json_list(items)).alias("pos", "item"))
-            .select("scenario", parse_audit(F.col("item")).alias("record"),
-                    F.concat("file", F.lit(":"), F.col("pos")).alias("raw_ref"),
-                    F.lit("cloudtrail").alias("source"), "pos"))
+    objects = split_objects(file_fragments(spark, path)).filter("coalesce(section, 'Records') = 'Records' AND item IS NOT NULL")
+    file = F.substring_index("path", "/", -1)
+    return objects.select(F.regexp_replace(file, r"\.json$", "").alias("scenario"), parse_audit(F.col("item")).alias("record"),
+                          F.concat(file, F.lit(":"), F.col("pos")).alias("raw_ref"), F.lit("cloudtrail").alias("source"), F.col("pos").cast("int").alias("pos"))

@@ -9,6 +9,7 @@ from skyledger.functions import fixed
 from skyledger.functions.columns import json_field, json_list
 from skyledger.functions.sliced import first_by
 from skyledger.session import cut_lineage
+from skyledger.sources.split_json import file_fragments, split_objects
 
 
 def sensitivity(tags: Column) -> Column:
@@ -19,12 +20,11 @@ def sensitivity(tags: Column) -> Column:
 
 def read_config_snapshots(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """``principal_tags(arn, tags)`` and ``resource_sensitivity(arn, sensitivity)``; later files win."""
-    item = "ARRAY<STRUCT<arn: STRING, type: STRING, tags: MAP<STRING, STRING>>>"
-    files = (spark.read.schema(f"principals {item}, resources {item}").option("multiLine", True).json(path)
-             .select("*", F.col("_metadata.file_path").alias("path")))
+    objects = cut_lineage(split_objects(file_fragments(spark, path)))
 
-    def latest(column: str) -> DataFrame:
-        rows = files.select("path", F.posexplode(column).alias("pos", "it")).select("path", "pos", "it.*")
+    def latest(section: str) -> DataFrame:
+        rows = objects.filter((F.col("section") == section) & F.col("item").isNotNull())
+        rows = rows.select("path", "pos", F.from_json("item", "arn STRING, type STRING, tags MAP<STRING, STRING>").alias("it")).select("path", "pos", "it.*")
         return rows.groupBy("arn").agg(F.max_by("tags", F.struct("path", "pos")).alias("tags"))
 
     return {
@@ -35,9 +35,8 @@ def read_config_snapshots(spark: SparkSession, path: str) -> dict[str, DataFrame
 
 def read_geo_table(spark: SparkSession, path: str) -> DataFrame:
     """``{ip: {asn, geo}}`` files as ``geo(src_ip, asn, geo)``, one row per address; later files win."""
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    table = F.from_json("value", "map<string, struct<asn: string, geo: string>>")
-    rows = files.select("path", F.explode(table).alias("src_ip", "v"))
+    rows = split_objects(file_fragments(spark, path)).filter("section IS NOT NULL AND item IS NOT NULL")
+    rows = rows.select("path", F.col("section").alias("src_ip"), F.from_json("item", "asn string, geo string").alias("v"))
     return rows.groupBy("src_ip").agg(F.max_by("v", "path").alias("v")).select("src_ip", "v.asn", "v.geo")
 
 
@@ -80,12 +79,10 @@ def playbooks(spark: SparkSession, path: str | None = None) -> DataFrame:
 
 # ---------------------------------------------------------------- authorisation snapshots
 
-_ENTITY = ("ARRAY<STRUCT<arn: STRING, name: STRING, tags: MAP<STRING, STRING>, "
-           "attached_managed_policies: ARRAY<STRING>, inline_policies: MAP<STRING, STRING>, "
-           "groups: ARRAY<STRING>, permission_boundary: STRING, trust_policy: STRING>>")
-SNAPSHOT = (f"account STRING, managed_policies ARRAY<STRUCT<arn: STRING, name: STRING, document: STRING>>, "
-            f"groups {_ENTITY}, users {_ENTITY}, roles {_ENTITY}, "
-            f"resources ARRAY<STRUCT<arn: STRING, type: STRING, tags: MAP<STRING, STRING>, resource_policy: STRING>>")
+_ENTITY = ("arn STRING, name STRING, tags MAP<STRING, STRING>, attached_managed_policies ARRAY<STRING>, inline_policies MAP<STRING, STRING>, "
+           "groups ARRAY<STRING>, permission_boundary STRING, trust_policy STRING")
+_POLICY = "arn STRING, name STRING, document STRING"
+_RESOURCE = "arn STRING, type STRING, tags MAP<STRING, STRING>, resource_policy STRING"
 
 
 def parse_statements(df: DataFrame, document: str, keep: list[str]) -> DataFrame:
@@ -125,13 +122,16 @@ def trust_names(principal_json: Column, kind: str) -> Column:
 
 
 def read_authorization(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Load a snapshot once into written permission tables, so later joins never parse JSON again."""
-    parsed = authorization_tables(spark.read.schema(SNAPSHOT).option("multiLine", True).json(path))
+    """Load snapshots once into written permission tables, so later joins never parse JSON again.
+
+    A snapshot of one huge account is cut into its entities by many tasks; nothing holds it whole.
+    """
+    parsed = authorization_tables(cut_lineage(split_objects(file_fragments(spark, path))))
     return {name: cut_lineage(table) for name, table in parsed.items()}
 
 
-def authorization_tables(snapshot: DataFrame) -> dict[str, DataFrame]:
-    """One snapshot row per account to the normalised permission tables.
+def authorization_tables(objects: DataFrame) -> dict[str, DataFrame]:
+    """Split objects of snapshots, one document per account, to the normalised permission tables.
 
     principal(account, arn, name, ptype, sensitivity, boundary, ordinal), attachment(principal, policy, ordinal),
     membership(principal, group_name, ordinal), inline_policy(principal, policy_name, ordinal),
@@ -139,24 +139,26 @@ def authorization_tables(snapshot: DataFrame) -> dict[str, DataFrame]:
     statement(owner, owner_kind, policy_name, policy_ord, stmt_ord, ...), trust_statement(role, ...),
     resource(account, arn, rtype, sensitivity, ordinal).
     """
-    snapshot = snapshot.withColumn("account", F.coalesce("account", F.lit("unknown")))
-    kinds = [("groups", "group", 0), ("users", "user", 1), ("roles", "role", 2)]
+    # the account stands among the scalars of the document, before or after its lists
+    said = F.regexp_extract("outside", r'"account"\s*:\s*("(?:[^"\\]|\\.)*")', 1)
+    named = F.max(F.from_json(F.concat(F.lit('{"a":'), said, F.lit("}")), "a STRING")["a"])
+    account = objects.groupBy("path").agg(F.coalesce(named, F.lit("unknown")).alias("account"))
+
+    def items(section: str, schema: str) -> DataFrame:
+        rows = objects.filter((F.col("section") == section) & F.col("item").isNotNull()).join(account, "path")
+        return rows.select("account", F.col("pos").alias("ordinal"), F.from_json("item", schema).alias("e")).select("account", "ordinal", "e.*")
+
     entities = None
-    for column, ptype, rank in kinds:
-        part = snapshot.select("account", F.lit(ptype).alias("ptype"), F.lit(rank).alias("rank"),
-                               F.posexplode(column).alias("pos", "e")).select("account", "ptype", "rank", "pos", "e.*")
+    for section, ptype, rank in [("groups", "group", 0), ("users", "user", 1), ("roles", "role", 2)]:
+        part = items(section, _ENTITY).withColumn("ptype", F.lit(ptype)).withColumn("ordinal", F.col("ordinal") + (rank << 40))
         entities = part if entities is None else entities.unionByName(part)
-    entities = (entities.withColumn("name", F.coalesce("name", "arn"))
-                .withColumn("ordinal", F.col("rank").cast("bigint") * (1 << 40) + F.col("pos")).drop("rank", "pos"))
+    entities = entities.withColumn("name", F.coalesce("name", "arn"))
 
-    policies = first_by(snapshot.select("account", F.posexplode("managed_policies").alias("ordinal", "p"))
-                        .select("account", F.col("ordinal").cast("bigint"), "p.*")
-                        .withColumn("name", F.coalesce("name", "arn")), ["arn"], ["ordinal"])
+    policies = first_by(items("managed_policies", _POLICY).withColumn("name", F.coalesce("name", "arn")), ["arn"], ["ordinal"])
     inline = entities.select(F.col("arn").alias("principal"),
                              F.posexplode(F.map_entries("inline_policies")).alias("ordinal", "kv")).select(
         "principal", "ordinal", F.col("kv.key").alias("policy_name"), F.col("kv.value").alias("document"))
-    resources = snapshot.select("account", F.posexplode("resources").alias("ordinal", "r")).select(
-        "account", F.col("ordinal").cast("bigint"), "r.*")
+    resources = items("resources", _RESOURCE)
 
     own = parse_statements(inline.select(F.col("principal").alias("owner"), F.lit("principal").alias("owner_kind"),
                                          "policy_name", F.col("ordinal").alias("policy_ord"), "document"),
