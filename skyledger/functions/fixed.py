@@ -179,12 +179,12 @@ ESCALATIONS = {
     "PassRole:ec2": ("PassRole a privileged role to a new EC2 instance", "role", "T1548"),
     "AssumeRole": ("Assume a more-privileged role", "role", "T1548"),
 }
-# principal type -> (action probed on itself, technique)
+# --- fixed values: escalation by own rights: principal type -> (action probed on itself, technique) ---
 SELF_GRANTS = {
     "user": [("iam:AttachUserPolicy", "AttachUserPolicy"), ("iam:PutUserPolicy", "PutUserPolicy")],
     "role": [("iam:AttachRolePolicy", "AttachRolePolicy"), ("iam:PutRolePolicy", "PutRolePolicy")],
 }
-# technique -> (launch action, service that must be trusted)
+# --- fixed values: escalation by launching: technique -> (launch action, service that must be trusted) ---
 LAUNCHES = {
     "PassRole:lambda": ("lambda:CreateFunction", "lambda.amazonaws.com"),
     "PassRole:ec2": ("ec2:RunInstances", "ec2.amazonaws.com"),
@@ -199,6 +199,7 @@ ACTIONS = {
     "re-enable-logging": ("Re-enable CloudTrail logging", "medium", "account", True, True),
     "snapshot-forensics": ("Snapshot volume for forensics", "low", "resource", True, True),
 }
+# --- fixed values: technique ids that propose a response ---
 KEY_ABUSE = ["T1548", "T1078", "T1078.004"]
 SELF_ESCALATION = ["T1098", "T1098.001", "T1098.003"]
 
@@ -233,11 +234,7 @@ PLAYBOOKS = [
 REF_PATTERN = r"\[\[ref:([^\]]+)\]\]"
 ARN_PATTERN = r"\barn:aws(?:-[a-z0-9-]+)?:[A-Za-z0-9_./:=+@,-]+"
 S3_URI_PATTERN = r"\bs3://[A-Za-z0-9][A-Za-z0-9._-]{1,62}(?:/[A-Za-z0-9._~!$&'()*+,;=:@%/-]*)?"
-API_VERBS = ["Get", "Put", "List", "Create", "Delete", "Update", "Assume", "Stop", "Start", "Describe", "Attach",
-             "Detach", "Pass", "Revoke", "Terminate", "Disable", "Enable", "Set", "Modify", "Add", "Remove", "Tag",
-             "Untag", "Copy", "Head", "Batch", "Invoke"]
-DIRECTIVE_VERBS = ["run", "execute", "delete", "disable", "enable", "revoke", "rotate", "terminate", "block",
-                   "isolate", "attach", "detach", "create", "update", "put", "remove", "stop", "start", "assume",
-                   "modify", "set", "add", "copy", "invoke", "remediate"]
+API_PATTERN = r"\b(?:Get|Put|List|Create|Delete|Update|Assume|Stop|Start|Describe|Attach|Detach|Pass|Revoke|Terminate|Disable|Enable|Set|Modify|Add|Remove|Tag|Untag|Copy|Head|Batch|Invoke)[A-Z][A-Za-z0-9]+\b"
+DIRECTIVE_PATTERN = r"(?i)(?:^|[.!?]\s+)(?:please\s+)?(?:run|execute|delete|disable|enable|revoke|rotate|terminate|block|isolate|attach|detach|create|update|put|remove|stop|start|assume|modify|set|add|copy|invoke|remediate)\b"
 # a sentence starts a segment; anchoring it there keeps the search linear on long lines
 SENTENCE_PATTERN = r"(?<![^\n.!?])[^\n.!?]++(?:[.!?](?=\s|$)|$)"

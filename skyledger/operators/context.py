@@ -163,10 +163,8 @@ def summary_text(parts: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- grounding audit
 
-API_PATTERN = r"\b(?:" + "|".join(fixed.API_VERBS) + r")[A-Z][A-Za-z0-9]+\b"
-DIRECTIVE_PATTERN = r"(?i)(?:^|[.!?]\s+)(?:please\s+)?(?:" + "|".join(fixed.DIRECTIVE_VERBS) + r")\b"
 _FOUND = {"ref": (fixed.REF_PATTERN, 1, "unsupported provenance ref: "), "arn": (fixed.ARN_PATTERN, 0, "unsupported ARN: "),
-          "api": (API_PATTERN, 0, "unsupported API/action: "), "s3": (fixed.S3_URI_PATTERN, 0, "unsupported resource: ")}
+          "api": (fixed.API_PATTERN, 0, "unsupported API/action: "), "s3": (fixed.S3_URI_PATTERN, 0, "unsupported resource: ")}
 
 
 def _all(text: Column, kind: str) -> Column:
@@ -206,7 +204,7 @@ def audit_summaries(summaries: DataFrame, allowed: DataFrame) -> DataFrame:
                .filter((sentence != "") & ~F.col("s").rlike(fixed.REF_PATTERN))
                .select("case_id", F.concat(F.lit("uncited sentence: "), F.substring(sentence, 1, 80)).alias("violation")))
     plain = F.regexp_replace("summary", fixed.REF_PATTERN, "")
-    ordered = summaries.filter(plain.rlike(DIRECTIVE_PATTERN)).select("case_id", F.lit("action directive detected").alias("violation"))
+    ordered = summaries.filter(plain.rlike(fixed.DIRECTIVE_PATTERN)).select("case_id", F.lit("action directive detected").alias("violation"))
     return unknown.unionByName(uncited).unionByName(ordered).distinct()
 
 

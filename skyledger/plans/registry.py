@@ -78,10 +78,8 @@ def s3_objects(w):
     return audit.notified_objects(w.events.select(body.alias("body")))
 
 
-@register("N7_normalise_findings", """
-SELECT event_id, us, 'Recon:' || event AS event, CASE WHEN k % 3 = 0 THEN 'arn:aws:iam::' || account || ':user/u' || uid WHEN k % 3 = 1 THEN 'i-' || uid ELSE 'AIDA' || uid END AS principal,
-  CASE WHEN k % 3 = 0 THEN 'user' ELSE 'unknown' END AS principal_type, src_ip, asn, geo, severity FROM ev""")
-def n7(w):
+def finding_json(w: Workspace) -> DataFrame:
+    """(seq, item): the events as findings in JSON text."""
     ip = F.struct(F.col("src_ip").alias("IpAddressV4"), F.struct(F.when(F.col("k") % 2 == 0, F.col("asn")).otherwise(F.substring("asn", 3, 10)).alias("Asn")).alias("Organization"),
                   F.struct(F.col("geo").alias("CountryName")).alias("Country"))
     details = F.struct(ip.alias("RemoteIpDetails"))
@@ -94,7 +92,14 @@ def n7(w):
                           F.concat(F.lit("AIDA"), F.col("uid").cast("string")).alias("PrincipalId")).alias("AccessKeyDetails"),
                  F.struct(F.when(F.col("k") % 3 == 1, F.concat(F.lit("i-"), F.col("uid").cast("string"))).alias("InstanceId")).alias("InstanceDetails")).alias("Resource"),
         F.when(F.col("k") % 2 == 0, time).alias("UpdatedAt"), time.alias("CreatedAt"), F.struct(action.alias("Action")).alias("Service")))
-    raw = w.events.select(audit.parse_finding(finding).alias("record"), F.lit("r").alias("raw_ref"), F.lit("guardduty").alias("source"))
+    return w.events.select("seq", finding.alias("item"))
+
+
+@register("N7_normalise_findings", """
+SELECT event_id, us, 'Recon:' || event AS event, CASE WHEN k % 3 = 0 THEN 'arn:aws:iam::' || account || ':user/u' || uid WHEN k % 3 = 1 THEN 'i-' || uid ELSE 'AIDA' || uid END AS principal,
+  CASE WHEN k % 3 = 0 THEN 'user' ELSE 'unknown' END AS principal_type, src_ip, asn, geo, severity FROM ev""")
+def n7(w):
+    raw = finding_json(w).select(audit.parse_finding(F.col("item")).alias("record"), F.lit("r").alias("raw_ref"), F.lit("guardduty").alias("source"))
     return normalise.normalise_findings(raw).select("event_id", "us", "event", "principal", "principal_type", "src_ip", "asn", "geo", "severity")
 
 
@@ -706,13 +711,13 @@ o.CTES["texts"] = "SELECT 'd' || doc_id AS case_id, text AS summary FROM documen
 
 @register("T5_text_entities", f"""
 SELECT DISTINCT case_id, kind, value FROM (SELECT case_id, 'ref' AS kind, unnest(regexp_extract_all(summary, '{fixed.REF_PATTERN}', 1)) AS value FROM texts
-UNION ALL SELECT case_id, 'arn', unnest(regexp_extract_all(summary, '{fixed.ARN_PATTERN}')) FROM texts UNION ALL SELECT case_id, 'api', unnest(regexp_extract_all(summary, '{context.API_PATTERN}')) FROM texts
+UNION ALL SELECT case_id, 'arn', unnest(regexp_extract_all(summary, '{fixed.ARN_PATTERN}')) FROM texts UNION ALL SELECT case_id, 'api', unnest(regexp_extract_all(summary, '{fixed.API_PATTERN}')) FROM texts
 UNION ALL SELECT case_id, 's3', unnest(regexp_extract_all(summary, '{fixed.S3_URI_PATTERN.replace("'", "''")}')) FROM texts)""")
 def t5(w):
     return context.text_entities(_texts(w), ["case_id"], "summary")
 
 
-@register("T5_text_directives", f"SELECT case_id FROM texts WHERE regexp_matches(summary, '{context.DIRECTIVE_PATTERN}')")
+@register("T5_text_directives", f"SELECT case_id FROM texts WHERE regexp_matches(summary, '{fixed.DIRECTIVE_PATTERN}')")
 def t5d(w):
     none = w.spark.createDataFrame([], "case_id STRING, kind STRING, value STRING")
     return context.audit_summaries(_texts(w), none).filter("violation = 'action directive detected'").select("case_id")
@@ -924,3 +929,6 @@ def k4(w):
     rows = w.table("events").select("user_id", "event_id")
     sinks.upsert(rows.filter("ts < TIMESTAMP_NTZ '2024-01-16 00:00:00'"), root, "user_id", "event_id")
     return w.spark.read.parquet(sinks.upsert(rows.filter("ts >= TIMESTAMP_NTZ '2024-01-16 00:00:00'"), root, "user_id", "event_id"))
+
+
+from skyledger.plans import registry_sources  # noqa: E402,F401  registers the file sources; needs the names above

@@ -13,7 +13,7 @@ from skyledger.operators.normalise import EVENT_COLUMNS  # noqa: F401
 from skyledger.sources import sinks, snapshots
 from tests import fixtures as fx
 
-DEPLOY, SESS = fx.arn("role", "deploy"), f"arn:aws:sts::{fx.ACC}:assumed-role/deploy/sess1"
+ARCHIVER, SESS = fx.ARCHIVER, f"arn:aws:sts::{fx.ACC}:assumed-role/archiver/sess1"
 T0 = 1_789_009_200_000_000
 EVENT = ("seq BIGINT, us BIGINT, event STRING, principal STRING, principal_type STRING, session STRUCT<issuer_arn: STRING, issuer_type: STRING, session_name: STRING, mfa_authenticated: BOOLEAN>, "
          "target STRING, src_ip STRING, geo STRING, region STRING, account STRING, event_id STRING, mfa BOOLEAN, read_only BOOLEAN, resource_sensitivity STRING, asn STRING, user_agent STRING, "
@@ -21,22 +21,22 @@ EVENT = ("seq BIGINT, us BIGINT, event STRING, principal STRING, principal_type
 
 
 def row(seq, minute, event, who, target=None, geo="DE", ip=fx.IP):
-    sess = (DEPLOY, "Role", None, None) if who == SESS else None
+    sess = (ARCHIVER, "Role", None, None) if who == SESS else None
     return (seq, T0 + minute * 60_000_000, event, who, "assumed_role" if sess else "user", sess, target, ip, geo, "us-east-1", fx.ACC, f"e{seq}", False, None,
             "unknown", None, "<ua>&", None, None, "cloudtrail", None, None, None)
 
 
 def story(spark):
-    steps = [("ListBuckets", fx.CI, None), ("AssumeRole", fx.CI, DEPLOY), ("CreatePolicyVersion", SESS, f"arn:aws:iam::{fx.ACC}:policy/deploy-policy"), ("DescribeInstances", SESS, None),
-             ("ListRoles", SESS, None), ("GetObject", SESS, "arn:aws:s3:::acme-crown-jewels"), ("StopLogging", SESS, f"arn:aws:cloudtrail:us-east-1:{fx.ACC}:trail/org-trail")]
+    steps = [("ListBuckets", fx.BATCH, None), ("AssumeRole", fx.BATCH, ARCHIVER), ("CreatePolicyVersion", SESS, f"arn:aws:iam::{fx.ACC}:policy/everything"), ("DescribeInstances", SESS, None),
+             ("ListRoles", SESS, None), ("GetObject", SESS, "arn:aws:s3:::clinic-secrets"), ("StopLogging", SESS, f"arn:aws:cloudtrail:eu-west-1:{fx.ACC}:trail/ward")]
     stream = spark.createDataFrame([row(i, i, e, w, t) for i, (e, w, t) in enumerate(steps)], EVENT)
-    past = spark.createDataFrame([row(100, -120, "ListBuckets", fx.CI, geo="US"), row(101, -119, "GetCallerIdentity", fx.CI, geo="US")], EVENT)
+    past = spark.createDataFrame([row(100, -120, "ListBuckets", fx.BATCH, geo="US"), row(101, -119, "GetCallerIdentity", fx.BATCH, geo="US")], EVENT)
     return past, stream
 
 
 def test_story_becomes_one_ranked_case(spark, tmp_path):
     p = tmp_path / "s.json"
-    p.write_text(json.dumps(fx.company()))
+    p.write_text(json.dumps(fx.clinic()))
     tables = snapshots.read_authorization(spark, str(p))
     g = escalation.prepare_graph(tables)
     past, stream = story(spark)
@@ -46,8 +46,8 @@ def test_story_becomes_one_ranked_case(spark, tmp_path):
     steps = c["step"].orderBy("step_no").collect()
     assert [s["action"] for s in steps] == ["ListBuckets", "AssumeRole", "CreatePolicyVersion", "Discovery (2 reads)", "GetObject", "StopLogging"]
     assert [s["tactic"] for s in steps] == ["Discovery", "Privilege Escalation", "Privilege Escalation", "Discovery", "Collection", "Defense Evasion"]
-    assert [s["actor"] for s in steps] == [fx.CI, fx.CI] + [DEPLOY] * 4
-    assert steps[1]["via_edge"] == "CAN_ASSUME ci-bot -> deploy" and steps[4]["via_edge"].startswith("CAN_ACCESS")
+    assert [s["actor"] for s in steps] == [fx.BATCH, fx.BATCH] + [ARCHIVER] * 4
+    assert steps[1]["via_edge"] == "CAN_ASSUME night-batch -> archiver" and steps[4]["via_edge"].startswith("CAN_ACCESS")
 
     ranked = ranking.rank_cases(found, c["step"], ranking.blast_radius(tables, g)).cache()
     r = ranked.first()
@@ -95,16 +95,16 @@ def test_long_discovery_runs_fold_like_the_sequential_rule(spark):
     for i in range(400):
         minute += rng.choice([0, 0.5, 2, 3, 7, 9.99, 10, 10.01])
         rows.append((i, int(minute * 60_000_000), rng.choice(["ListRoles", "ListUsers", "DescribeVpcs", "ListRoles", "GetPolicy", "ListKeys"]) if rng.random() > 0.02 else "StopLogging"))
-    ev = spark.createDataFrame([row(i, 0, e, fx.CI)[:1] + (us,) + row(i, 0, e, fx.CI)[2:] for i, us, e in rows], EVENT)
+    ev = spark.createDataFrame([row(i, 0, e, fx.BATCH)[:1] + (us,) + row(i, 0, e, fx.BATCH)[2:] for i, us, e in rows], EVENT)
     last = rows[-1][1]
     table = {
         "case": spark.createDataFrame([("case-1", 0, last)], "case_id STRING, us_start BIGINT, us_end BIGINT"),
-        "case_entity": spark.createDataFrame([("case-1", "principal", fx.CI), ("case-1", "src_ip", fx.IP)], "case_id STRING, kind STRING, value STRING"),
+        "case_entity": spark.createDataFrame([("case-1", "principal", fx.BATCH), ("case-1", "src_ip", fx.IP)], "case_id STRING, kind STRING, value STRING"),
         "case_detection": spark.createDataFrame([], "case_id STRING, event_id STRING, det_id STRING, key STRING, stage INT, seq BIGINT, sub INT")}
     got = [r["action"] for r in chain.reconstruct(table, ev)["step"].orderBy("step_no").collect()]
     # within one instant the tactic rank decides before arrival: tampering comes before discovery
     ordered = sorted(rows, key=lambda r: (r[1], 4 if r[2] == "StopLogging" else 6, r[0]))
-    assert got == _fold([(us, fx.CI, e) for _, us, e in ordered], 600_000_000)
+    assert got == _fold([(us, fx.BATCH, e) for _, us, e in ordered], 600_000_000)
 
 
 def test_components_equal_pairwise_links_even_with_a_hot_address(spark):

@@ -11,86 +11,96 @@ from skyledger.operators import escalation, graph, ranking
 from skyledger.sources import sinks, snapshots
 from tests import fixtures as fx
 
-OBJ, PUB = "arn:aws:s3:::acme-crown-jewels/customers.csv", "arn:aws:s3:::acme-public-assets/report.pdf"
-POLICY = f"arn:aws:iam::{fx.ACC}:policy/deploy-policy"
-TRAIL = f"arn:aws:cloudtrail:us-east-1:{fx.ACC}:trail/org-trail"
+SECRET, REPORT, INTAKE = fx.S3 + "secrets/a.csv", fx.S3 + "reports/b.pdf", fx.S3 + "intake/c.txt"
+TRAIL = f"arn:aws:cloudtrail:eu-west-1:{fx.ACC}:trail/ward"
 U = lambda n: fx.arn("user", n)
 
 
-@pytest.fixture(scope="module")
-def company(spark, tmp_path_factory):
-    p = tmp_path_factory.mktemp("auth") / "snapshot.json"
-    p.write_text(json.dumps(fx.company(), indent=1))
-    tables = snapshots.read_authorization(spark, str(p))
+def loaded(spark, folder, snapshot, **style):
+    (folder / "snapshot.json").write_text(json.dumps(snapshot, **style))
+    tables = snapshots.read_authorization(spark, str(folder))
     return tables, escalation.prepare_graph(tables)
 
 
 @pytest.fixture(scope="module")
-def vulnerable(spark, tmp_path_factory):
-    p = tmp_path_factory.mktemp("auth") / "snapshot.json"
-    p.write_text(json.dumps(fx.vulnerable()))
-    tables = snapshots.read_authorization(spark, str(p))
-    return tables, escalation.prepare_graph(tables)
+def clinic(spark, tmp_path_factory):
+    return loaded(spark, tmp_path_factory.mktemp("auth"), fx.clinic(), indent=1)
 
 
-def test_decisions(spark, company):
-    tables, g = company
+@pytest.fixture(scope="module")
+def ladders(spark, tmp_path_factory):
+    return loaded(spark, tmp_path_factory.mktemp("auth"), fx.ladders())
+
+
+def test_decisions(spark, clinic):
+    tables, g = clinic
     want = {
-        (U("alice"), "s3:GetObject", OBJ): ("ALLOW", False, False), (U("alice"), "s3:PutObject", PUB): ("ALLOW", False, False),
-        (U("alice"), "s3:PutObject", OBJ): ("IMPLICIT_DENY", False, False), (U("alice"), "iam:CreatePolicyVersion", POLICY): ("IMPLICIT_DENY", False, False),
-        (U("bob"), "s3:GetObject", OBJ): ("ALLOW", False, True), (U("bob"), "iam:CreatePolicyVersion", POLICY): ("IMPLICIT_DENY", False, True),
-        (U("carol"), "s3:DeleteObject", OBJ): ("ALLOW", False, False), (U("carol"), "cloudtrail:StopLogging", TRAIL): ("EXPLICIT_DENY", False, False),
-        (U("dave"), "s3:GetObject", PUB): ("ALLOW", False, False), (U("dave"), "s3:DeleteObject", PUB): ("IMPLICIT_DENY", False, False),
-        (U("erin"), "s3:GetObject", OBJ): ("ALLOW", True, False), (fx.arn("role", "deploy"), "iam:CreatePolicyVersion", POLICY): ("ALLOW", False, False),
-        (fx.arn("role", "deploy"), "s3:GetObject", OBJ): ("ALLOW", False, False), (U("nobody"), "s3:GetObject", OBJ): ("IMPLICIT_DENY", False, False),
+        (U("nora"), "s3:GetObject", REPORT): ("ALLOW", False, False), (U("nora"), "s3:GetObject", SECRET): ("IMPLICIT_DENY", False, False),
+        (U("nora"), "s3:PutObject", INTAKE): ("ALLOW", False, False), (U("otto"), "s3:PutObject", INTAKE): ("EXPLICIT_DENY", False, False),
+        (U("petra"), "logs:GetLogEvents", "*"): ("ALLOW", False, True), (U("petra"), "s3:GetObject", REPORT): ("IMPLICIT_DENY", False, True),
+        (U("quinn"), "s3:DeleteObject", SECRET): ("ALLOW", False, False), (U("quinn"), "kms:Decrypt", "*"): ("EXPLICIT_DENY", False, False),
+        (U("rosa"), "s3:GetObject", INTAKE): ("ALLOW", False, False), (U("rosa"), "s3:DeleteObject", INTAKE): ("IMPLICIT_DENY", False, False),
+        (U("rosa"), "s3:GetObject", REPORT): ("IMPLICIT_DENY", False, False), (U("sven"), "s3:GetObject", INTAKE): ("ALLOW", True, False),
+        (U("sven"), "s3:GetObject", SECRET): ("IMPLICIT_DENY", False, False), (fx.ARCHIVER, "s3:DeleteObject", SECRET): ("ALLOW", False, False),
+        (fx.BATCH, "s3:DeleteObject", SECRET): ("IMPLICIT_DENY", False, False), (U("stranger"), "s3:GetObject", INTAKE): ("IMPLICIT_DENY", False, False),
     }
     probes = spark.createDataFrame(list(want), "principal STRING, action STRING, resource STRING")
     got = {(r["principal"], r["action"], r["resource"]): r for r in graph.decide(probes, tables, g["index"]).collect()}
     assert {k: (r["effect"], r["conditional"], r["boundary_limited"]) for k, r in got.items()} == want
-    assert "group:developers" in got[(U("alice"), "s3:PutObject", PUB)]["matched"]
+    assert "group:nurses" in got[(U("nora"), "s3:PutObject", INTAKE)]["matched"]
     notes = {(r["principal"], r["note"]) for r in graph.decision_notes(probes, tables, g["index"]).collect()}
-    assert any(p == U("erin") and "MultiFactorAuthPresent" in n for p, n in notes)
-    assert (U("nobody"), "principal absent from snapshot; result is a guess") in notes
+    assert any(p == U("sven") and "aws:SourceIp" in n for p, n in notes)
+    assert (U("stranger"), "principal absent from snapshot; result is a guess") in notes
 
 
-def test_questions(company):
-    tables, g = company
+def test_questions(clinic):
+    tables, g = clinic
     who = lambda a, r, e="ALLOW": {x["principal"] for x in graph.who_can(a, r, tables, g["index"]).filter(F.col("effect") == e).collect()}
-    assert who("iam:CreatePolicyVersion", POLICY) == {U("carol"), fx.arn("role", "deploy")}
-    assert {U("alice"), U("bob"), U("carol"), U("erin"), fx.arn("role", "deploy")} <= who("s3:GetObject", OBJ)
-    assert who("cloudtrail:StopLogging", TRAIL) == set() and who("cloudtrail:StopLogging", TRAIL, "EXPLICIT_DENY") == {U("carol")}
-    via = {(r["assumer"], r["role"]) for r in graph.who_can_via_assume("iam:CreatePolicyVersion", POLICY, tables, g["edges"]).collect()}
-    assert (fx.CI, fx.arn("role", "deploy")) in via
+    assert who("s3:DeleteObject", SECRET) == {U("quinn"), fx.ARCHIVER}
+    assert who("s3:GetObject", REPORT) == {U("nora"), U("quinn"), U("sven"), fx.ARCHIVER}
+    assert who("cloudtrail:StopLogging", TRAIL) == {U("quinn"), fx.ARCHIVER} and who("s3:PutObject", INTAKE, "EXPLICIT_DENY") == {U("otto"), fx.arn("group", "trainees")}
+    via = {(r["assumer"], r["role"]) for r in graph.who_can_via_assume("s3:DeleteObject", SECRET, tables, g["edges"]).collect()}
+    assert via == {(fx.BATCH, fx.ARCHIVER)}
 
 
-def test_graph_edges(company, tmp_path, spark):
-    _, g = company
+def test_graph_edges(clinic, tmp_path, spark):
+    _, g = clinic
     e = {(r["kind"], r["src"], r["dst"]): r["external"] for r in g["edges"].collect()}
-    assert ("MEMBER_OF", U("alice"), fx.arn("group", "developers")) in e
-    assert e[("CAN_ASSUME", fx.CI, fx.arn("role", "deploy"))] is False
-    assert e[("CAN_ASSUME", "arn:aws:iam::999988887777:root", fx.arn("role", "external-backup"))] is True
+    assert {d for k, s, d in e if k == "MEMBER_OF" and s == U("otto")} == {fx.arn("group", "nurses"), fx.arn("group", "trainees")}
+    assert e[("CAN_ASSUME", fx.BATCH, fx.ARCHIVER)] is False
+    assert e[("CAN_ASSUME", "arn:aws:iam::555566667777:root", fx.arn("role", "partner"))] is True
     sinks.write_graph(g["nodes"], g["edges"], str(tmp_path / "g"))
     assert spark.read.parquet(str(tmp_path / "g" / "nodes")).count() == g["nodes"].select("id").distinct().count()
 
 
-def test_escalation_paths(vulnerable):
-    _, g = vulnerable
+def test_escalation_paths(ladders):
+    _, g = ladders
     got = {r["principal"]: r for r in g["paths"].collect()}
-    want = {"cg-bilbo": ["CreatePolicyVersion"], "selfadmin": ["AttachUserPolicy"], "inliner": ["PutUserPolicy"], "dev-lambda": ["PassRole:lambda"],
-            "analyst": ["AssumeRole", "AttachRolePolicy"], "pivot": ["AssumeRole", "AssumeRole"], "courier": ["AssumeRole", "s3:GetObject"]}
+    want = {"uma": ["CreatePolicyVersion"], "viktor": ["PutUserPolicy"], "vera": ["AttachUserPolicy"], "wanda": ["PassRole:ec2"], "xaver": ["AssumeRole", "PutRolePolicy"],
+            "yara": ["AssumeRole"] * 3, "zoe": ["AssumeRole", "s3:GetObject"]}
     assert {k: got[U(k)]["techniques"] for k in want} == want
-    assert U("readonly") not in got
-    assert got[U("courier")]["target_priv"] == "sensitive-resource:high" and got[U("pivot")]["hops"][0]["dst"] == fx.arn("role", "mid")
+    assert U("idle") not in got
+    assert got[U("zoe")]["target_priv"] == "sensitive-resource:high" and [h["dst"] for h in got[U("yara")]["hops"]][:2] == [fx.arn("role", "stair-1"), fx.arn("role", "stair-2")]
     order = [(r["length"], r["principal"]) for r in g["paths"].orderBy("length", "principal").collect()]
     assert order == sorted(order)
 
 
-def test_new_paths_and_blast(vulnerable, company):
-    tables, g = company
+def test_new_paths_and_blast(ladders, clinic):
+    tables, g = clinic
     assert escalation.new_paths(g["paths"], g["paths"]).count() == 0
     b = {r["principal"]: r for r in ranking.blast_explanation(ranking.blast_radius(tables, g)).collect()}
-    assert b[fx.CI]["reach_sensitive"] == 1.0 and "can_assume" in b[fx.CI]["caps"]
-    assert b[U("carol")]["current_privilege"] == 1.0 and b[U("carol")]["privesc_available"] == 0.0 and b[U("carol")]["reach_admin"] == 1.0
+    assert b[fx.BATCH]["reach_sensitive"] == 1.0 and "can_assume" in b[fx.BATCH]["caps"]
+    assert b[U("quinn")]["current_privilege"] == 1.0 and b[U("quinn")]["privesc_available"] == 0.0 and b[U("quinn")]["reach_admin"] == 1.0
     for r in b.values():
         assert r["blast"] == pytest.approx(sum(r[f"{n}_points"] for n in ("reach_sensitive", "reach_admin", "privesc_available", "current_privilege")))
-    assert b[fx.CI]["explanation"].startswith("blast ")
+    assert b[fx.BATCH]["explanation"].startswith("blast ")
+
+
+def test_paths_that_are_new(spark, ladders, tmp_path):
+    """A snapshot with one ladder taken away: only that one is new against it."""
+    _, g = ladders
+    before = fx.ladders()
+    before["users"] = [u for u in before["users"] if u["name"] != "viktor"]
+    (tmp_path / "auth").mkdir()
+    _, old = loaded(spark, tmp_path / "auth", before)
+    assert {r["principal"] for r in escalation.new_paths(old["paths"], g["paths"]).collect()} == {U("viktor")}

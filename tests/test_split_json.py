@@ -94,3 +94,21 @@ def test_inflation_is_bounded():
     data = b"x" * 50_000_000
     sizes = [len(p) for p in split_json.inflated(io.BytesIO(gzip.compress(data)))]
     assert sum(sizes) == len(data) and max(sizes) <= split_json.PIECE
+
+
+def test_landed_batches_add_nothing_twice(spark, tmp_path):
+    """An object announced in two batches is read in the first; a batch that is replayed or was cut off before its manifest adds nothing."""
+    from skyledger.sources import audit
+
+    for key in "abc":
+        (tmp_path / "store" / "logs").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "store" / "logs" / key).write_bytes(gzip.compress(json.dumps({"Records": [{"eventID": f"{key}{i}", "eventName": "ListRoles"} for i in range(3)]}).encode()))
+    note = lambda *keys: json.dumps({"Records": [{"s3": {"bucket": {"name": "logs"}, "object": {"key": k}}} for k in keys]})
+    bare = json.dumps({"eventID": "x", "eventName": "GetObject"})
+    batches = [(0, [note("a", "b"), note("a")]), (1, [note("b", "c"), bare]), (1, [note("b", "c"), bare]), (0, [note("a", "b"), note("a")])]
+    out = str(tmp_path / "out")
+    for epoch, bodies in batches:
+        audit.land_notified(spark.createDataFrame([(b,) for b in bodies], "body string"), out, epoch, root=f"file://{tmp_path}/store/")
+    rows = [(r["raw_ref"], r["record"]["eventID"]) for r in spark.read.parquet(f"{out}/records").collect()]
+    assert sorted(e for _, e in rows) == sorted([f"{k}{i}" for k in "abc" for i in range(3)] + ["x"])
+    assert ("s3://logs/a#a0", "a0") in rows and ("sqs://raw#x", "x") in rows
