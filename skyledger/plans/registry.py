@@ -15,8 +15,8 @@ from skyledger.plans import oracle as o
 from skyledger.plans.oracle import BURST_MIN, BURST_N, TRAVEL_MIN, compose
 from skyledger.plans.shared_views import ACCOUNT, IAM, SPLIT_US
 from skyledger.plans.workspace import Workspace, workspace
-from skyledger.session import cut_lineage
-from skyledger.sources import audit, sinks
+from skyledger.session import checkpoint_root, cut_lineage
+from skyledger.sources import audit, sinks, store
 from skyledger.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -854,29 +854,34 @@ def st6(w):
     return jobs.complete(jobs.stream_case_sessions(det), "sessions").select("kind", "value", "n", "us_start", "us_end")
 
 
-# rows newer than the final watermark (one hour behind the latest event) are still waiting in the state
-_MARK = "((SELECT max(us) FROM ev) // 1000 * 1000 - 3600000000)"
+def _to_the_end(w: Workspace, job: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """The job over the whole stream of events, followed by rows of a user that does not exist, a year later, that pass its filters."""
+    base = w.table("events")
+    later = base.groupBy().agg((F.max("ts") + F.expr("INTERVAL 400 DAYS")).alias("ts"), F.max("event_id").alias("event_id"))
+    marker = later.select(F.explode(F.array(F.lit("view"), F.lit("click"))).alias("event_type"), "ts", "event_id", F.lit(-1).cast("bigint").alias("user_id"), F.lit(0.0).alias("value"), F.lit('{"k": 0}').alias("props"))
+    build = lambda folder: job(w.event_view(jobs.read_events(w.spark, folder, base.schema)).withColumn("ts", F.timestamp_micros("us")))
+    return jobs.drain_to_the_end(build, base, marker.select([F.col(f.name).cast(f.dataType) for f in base.schema.fields]), name)
 
 
-@register("ST4_stream_impossible_travel", f"SELECT principal, event_id, us, message FROM ({o.travel('ev')}) WHERE us <= {_MARK}")
+@register("ST4_stream_impossible_travel", f"SELECT principal, event_id, us, message FROM ({o.travel('ev')})")
 def st4(w):
-    d = jobs.drain(jobs.stream_impossible_travel(_stream(w), TRAVEL_MIN), "travel")
+    d = _to_the_end(w, lambda s: jobs.stream_impossible_travel(s, TRAVEL_MIN), "travel")
     return d.select("principal", "event_id", "us", F.concat("principal", F.lit(" moved "), "from_geo", F.lit(" -> "), "to_geo", F.lit(" in "), F.col("minutes").cast("string"), F.lit(" min")).alias("message"))
 
 
-@register("ST5_stream_enumeration_bursts", f"SELECT principal, event_id, us, names FROM ({o.bursts('ev')}) WHERE us <= {_MARK}")
+@register("ST5_stream_enumeration_bursts", f"SELECT principal, event_id, us, names FROM ({o.bursts('ev')})")
 def st5(w):
-    return jobs.drain(jobs.stream_enumeration_bursts(_stream(w), BURST_MIN, BURST_N), "bursts").select("principal", "event_id", "us", "names")
+    return _to_the_end(w, lambda s: jobs.stream_enumeration_bursts(s, BURST_MIN, BURST_N), "bursts").select("principal", "event_id", "us", "names")
 
 
 @register("ST7_stream_s3_daily", f"""
 WITH p AS ({_PROFILE.replace('round(', '(').replace(', 6)', ')').replace(', 3)', ')')}),
 d AS (SELECT principal, us // 86400000000 AS day, count(*) AS get_count, sum(bytes) AS bytes FROM ev WHERE event = 'GetObject' GROUP BY ALL)
-SELECT principal, day, get_count, bytes FROM d JOIN p USING (principal) WHERE (day + 1) * 86400000000 <= {_MARK}
-AND (get_count > greatest(daily_get_mean + 1.0 * daily_get_std, daily_get_mean + 1) OR bytes > greatest(daily_bytes_mean + 1.0 * daily_bytes_std, daily_bytes_mean + 50000000))""")
+SELECT principal, day, get_count, bytes FROM d JOIN p USING (principal)
+WHERE get_count > greatest(daily_get_mean + 1.0 * daily_get_std, daily_get_mean + 1) OR bytes > greatest(daily_bytes_mean + 1.0 * daily_bytes_std, daily_bytes_mean + 50000000)""")
 def st7(w):
     profile = cut_lineage(exposure.s3_profile(w.history))
-    d = jobs.drain(jobs.stream_s3_daily(_stream(w), profile, 1.0, 1, 50_000_000), "daily")
+    d = _to_the_end(w, lambda s: jobs.stream_s3_daily(s, profile, 1.0, 1, 50_000_000), "daily")
     return d.select("principal", F.expr("unix_micros(day) div 86400000000").alias("day"), "get_count", "bytes")
 
 
@@ -922,13 +927,26 @@ def k2(w):
 
 @register("K4_latest_per_key", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
 def k4(w):
+    """Two writers that both started from the first merge, and one that takes both in for the buckets it touches."""
     import uuid
 
-    from skyledger.session import checkpoint_root
     root = f"{checkpoint_root(w.spark).rstrip('/')}/upsert-{uuid.uuid4().hex}"
     rows = w.table("events").select("user_id", "event_id")
-    sinks.upsert(rows.filter("ts < TIMESTAMP_NTZ '2024-01-16 00:00:00'"), root, "user_id", "event_id")
-    return w.spark.read.parquet(sinks.upsert(rows.filter("ts >= TIMESTAMP_NTZ '2024-01-16 00:00:00'"), root, "user_id", "event_id"))
+    for part in ("ts < TIMESTAMP_NTZ '2024-01-11 00:00:00'", "ts >= TIMESTAMP_NTZ '2024-01-16 00:00:00'", "ts >= TIMESTAMP_NTZ '2024-01-11 00:00:00' AND ts < TIMESTAMP_NTZ '2024-01-16 00:00:00'"):
+        store.upsert(rows.filter(part), root, "user_id", "event_id")
+    return store.read_store(w.spark, root, "user_id", "event_id")
+
+
+@register("ST8_case_feed", "SELECT event_id % 500 AS case_id, max(event_id) AS version, arg_max(user_id, event_id) AS owner FROM events GROUP BY 1")
+def st8(w):
+    """A stream of changed rows kept up to date in the store."""
+    import uuid
+
+    root = f"{checkpoint_root(w.spark).rstrip('/')}/feed-{uuid.uuid4().hex}"
+    base = jobs.read_events(w.spark, w.folder, w.table("events").schema, "events.parquet")
+    changed = base.select((F.col("event_id") % 500).alias("case_id"), F.col("event_id").alias("version"), F.col("user_id").alias("owner"))
+    jobs.start_case_feed(changed, f"{root}/cases", f"{root}/state").awaitTermination()
+    return store.read_store(w.spark, f"{root}/cases", "case_id", "version")
 
 
 from skyledger.plans import registry_sources  # noqa: E402,F401  registers the file sources; needs the names above

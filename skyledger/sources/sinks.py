@@ -1,14 +1,13 @@
-"""Exports and stores: case JSON and CSV, append-only audit log, keyed upserts, graph tables, evaluation reports."""
+"""Exports and stores: case JSON and CSV, append-only audit log, graph tables, evaluation reports."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyledger.functions.columns import utc_clock
 from skyledger.functions.sliced import first_by
+from skyledger.sources.store import read_or_none
 
 
 def iso_time(us: str) -> Column:
@@ -67,55 +66,12 @@ def insert_audit_if_absent(records: DataFrame, path: str) -> None:
     """Append only the records whose id is not stored yet."""
     spark = records.sparkSession
     fresh = first_by(records, ["record_id"], [c for c in ("ts", "status") if c in records.columns])
-    if _exists(spark, path):
-        fresh = fresh.join(read_audit(spark, path).select("record_id"), "record_id", "left_anti")
+    stored = read_or_none(spark, path, AUDIT)
+    if stored is not None:
+        fresh = fresh.join(stored.select("record_id"), "record_id", "left_anti")
     append_audit(fresh, path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
-# ---------------------------------------------------------------- keyed snapshots
-
-def upsert(changes: DataFrame, root: str, key: str, version: str, epoch: str | None = None) -> str:
-    """Merge ``changes`` into the latest snapshot below ``root``; the newest ``version`` per key wins.
-
-    Every merge writes a new snapshot folder and then a pointer with the next number, so readers and retries see whole
-    snapshots. An ``epoch`` (name of a batch of a stream) that is already merged is not merged again. One writer at a time.
-    """
-    spark = changes.sparkSession
-    done = _merges(spark, root)
-    again = None if done is None or epoch is None else done.filter(F.col("epoch") == epoch).first()
-    if again:
-        return again["path"]
-    last = None if done is None else done.orderBy(F.desc("no")).first()
-    current, no = (last["path"], last["no"] + 1) if last else (None, 0)
-    merged = changes if current is None else spark.read.parquet(current).unionByName(changes, allowMissingColumns=True)
-    rest = [c for c in merged.columns if c != key]
-    best = merged.groupBy(key).agg(F.max_by(F.struct(*rest), version).alias("r")).select(key, "r.*")
-    target = f"{root.rstrip('/')}/snapshot-{uuid.uuid4().hex}"
-    best.write.parquet(target)
-    spark.createDataFrame([(no, epoch, target)], MERGE).coalesce(1).write.mode("append").json(f"{root.rstrip('/')}/log")
-    return target
-
-
-MERGE = "no LONG, epoch STRING, path STRING"
-
-
-def _merges(spark: SparkSession, root: str) -> DataFrame | None:
-    """(no, epoch, path): one row per merge, or None before the first."""
-    log = f"{root.rstrip('/')}/log"
-    return spark.read.schema(MERGE).json(log) if _exists(spark, log) else None
-
-
-def latest_snapshot(spark: SparkSession, root: str) -> str | None:
-    done = _merges(spark, root)
-    row = None if done is None else done.orderBy(F.desc("no")).first()
-    return row["path"] if row else None
-
-
 # ---------------------------------------------------------------- graph and reports
 
 def write_graph(nodes: DataFrame, edges: DataFrame, root: str) -> None:

@@ -6,13 +6,14 @@ source options (files or offsets per trigger), so a hot key brings at most one b
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from skyledger.functions.columns import MINUTE, is_read_action
 from skyledger.operators.rules import match_rules
@@ -45,73 +46,104 @@ def stream_new_geo(events: DataFrame, countries: DataFrame, delay: str = "30 day
 
 # ---------------------------------------------------------------- keyed, ordered state
 
-def _ordered(state: GroupState, frames: Iterable[pd.DataFrame], columns: list[str], buffered: list) -> tuple[pd.DataFrame, list]:
-    """Rows safe to process in event-time order, and the rest to keep: those newer than the watermark wait."""
-    parts = [pd.DataFrame(buffered, columns=columns)] if buffered else []
-    parts += [f[columns] for f in frames]
-    if not parts:
-        return pd.DataFrame(columns=columns), []
-    rows = pd.concat(parts, ignore_index=True).sort_values(["us", "seq"], kind="stable")
-    mark = state.getCurrentWatermarkMs() * 1000
-    ready, wait = rows[rows["us"] <= mark], rows[rows["us"] > mark]
-    return ready, [tuple(r) for r in wait.itertuples(index=False, name=None)]
+#: Microseconds of event time whose waiting rows of a key are one state entry.
+SLICE = 5 * MINUTE
 
 
-def _arm(state: GroupState, waiting: list) -> None:
-    if waiting:
-        oldest = int(min(r[0] for r in waiting))
-        state.setTimeoutTimestamp(max(oldest // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+class _Ordered(StatefulProcessor):
+    """Rows of a key in event-time order. They wait in one state entry per time slice; a timer at the end of the slice hands them on.
 
+    A busy key has many small entries, each read and removed once. What a subclass remembers between slices is one row (``memory``).
+    """
 
-def stream_impossible_travel(events: DataFrame, max_gap_minutes: int = 60, delay: str = "1 hour") -> DataFrame:
-    """Country change within the gap per principal, in event-time order behind the watermark."""
-    gap = max_gap_minutes * MINUTE
-
-    def step(key, frames, state: GroupState):
-        last_geo, last_us, wait_us, wait_seq, wait_geo, wait_id = state.get if state.exists else (None, None, [], [], [], [])
-        ready, rest = _ordered(state, frames, ["us", "seq", "geo", "event_id"], list(zip(wait_us, wait_seq, wait_geo, wait_id)))
+    columns: list[str]
+    waiting: str
+    memory: str
+    output: list[str]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.slices = handle.getMapState("slices", "slice LONG", f"rows ARRAY<STRUCT<{self.waiting}>>")
+        self.remembered = handle.getValueState("memory", self.memory)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for frame in rows:
+            for part, new in frame.groupby(frame["us"] // SLICE):
+                at = (int(part),)
+                known = self.slices.getValue(at) if self.slices.containsKey(at) else None
+                self.slices.updateValue(at, ([*(tuple(r) for r in (known[0] if known else [])), *new[self.columns].itertuples(index=False, name=None)],))
+                if known is None:
+                    self.handle.registerTimer((int(part) + 1) * SLICE // 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        at = (expiredTimerInfo.getExpiryTimeInMs() * 1000 // SLICE - 1,)
+        if self.slices.containsKey(at):
+            rows = sorted(tuple(r) for r in self.slices.getValue(at)[0])
+            self.slices.removeKey(at)
+            known, out = self.walk(key[0], self.remembered.get() if self.remembered.exists() else None, rows)
+            self.remembered.update(known)
+            if out:
+                yield pd.DataFrame(out, columns=self.output)
+
+    def walk(self, key, known: tuple | None, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        """What to remember, and what to emit for the rows of a slice in order."""
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+class _Travel(_Ordered):
+    columns, waiting, memory = ["us", "seq", "geo", "event_id"], "us: LONG, seq: LONG, geo: STRING, event_id: STRING", "geo STRING, us LONG"
+    output = ["principal", "event_id", "us", "from_geo", "to_geo", "minutes"]
+
+    def __init__(self, gap: int):
+        self.gap = gap
+
+    def walk(self, key, known, rows):
+        last_geo, last_us = known or (None, None)
         out = []
-        for us, _seq, geo, event_id in ready.itertuples(index=False, name=None):
-            if last_geo is not None and last_geo != geo and us - last_us <= gap:
-                out.append((key[0], event_id, int(us), last_geo, geo, int((us - last_us) // MINUTE)))
-            last_geo, last_us = geo, int(us)
-        state.update((last_geo, last_us, [int(r[0]) for r in rest], [int(r[1]) for r in rest], [r[2] for r in rest], [r[3] for r in rest]))
-        _arm(state, rest)
-        yield pd.DataFrame(out, columns=["principal", "event_id", "us", "from_geo", "to_geo", "minutes"])
+        for us, _seq, geo, event_id in rows:
+            if last_geo is not None and last_geo != geo and us - last_us <= self.gap:
+                out.append((key, event_id, us, last_geo, geo, (us - last_us) // MINUTE))
+            last_geo, last_us = geo, us
+        return (last_geo, last_us), out
 
-    return (events.filter("geo <> ''").withWatermark("ts", delay).groupBy("principal").applyInPandasWithState(
-        step, "principal STRING, event_id STRING, us BIGINT, from_geo STRING, to_geo STRING, minutes BIGINT",
-        "geo STRING, us BIGINT, wait_us ARRAY<BIGINT>, wait_seq ARRAY<BIGINT>, wait_geo ARRAY<STRING>, wait_id ARRAY<STRING>",
-        "append", GroupStateTimeout.EventTimeTimeout))
 
+def stream_impossible_travel(events: DataFrame, max_gap_minutes: int = 60, delay: str = "1 hour") -> DataFrame:
+    """Country change within the gap per principal, in event-time order behind the watermark. Needs the RocksDB state store."""
+    return (events.filter("geo <> ''").withWatermark("ts", delay).select("principal", "us", "seq", "geo", "event_id", "ts").groupBy("principal").transformWithStateInPandas(
+        _Travel(max_gap_minutes * MINUTE), "principal STRING, event_id STRING, us BIGINT, from_geo STRING, to_geo STRING, minutes BIGINT", "Append", "EventTime"))
 
-def stream_enumeration_bursts(events: DataFrame, window_minutes: int = 5, distinct_threshold: int = 8, delay: str = "1 hour") -> DataFrame:
-    """Rising edges of distinct read APIs in the trailing window.
 
-    The state holds the latest call per API name, bounded by the API vocabulary, not the calls of the window.
-    """
-    window = window_minutes * MINUTE
+class _Bursts(_Ordered):
+    """Remembers the latest call per API name, bounded by the API vocabulary, not the calls of the window."""
 
-    def step(key, frames, state: GroupState):
-        names, times, firing, wait_us, wait_seq, wait_ev, wait_id = state.get if state.exists else ([], [], False, [], [], [], [])
-        latest = dict(zip(names, times))
-        ready, rest = _ordered(state, frames, ["us", "seq", "event", "event_id"], list(zip(wait_us, wait_seq, wait_ev, wait_id)))
-        out = []
-        for us, _seq, event, event_id in ready.itertuples(index=False, name=None):
-            latest[event] = int(us)
-            latest = {n: t for n, t in latest.items() if us - t <= window}
-            hit = len(latest) >= distinct_threshold
+    columns, waiting = ["us", "seq", "event", "event_id"], "us: LONG, seq: LONG, event: STRING, event_id: STRING"
+    memory, output = "names ARRAY<STRING>, times ARRAY<LONG>, firing BOOLEAN", ["principal", "event_id", "us", "distinct_names", "names"]
+
+    def __init__(self, window: int, threshold: int):
+        self.window, self.threshold = window, threshold
+
+    def walk(self, key, known, rows):
+        names, times, firing = known or ([], [], False)
+        latest, out = dict(zip(names, times, strict=True)), []
+        for us, _seq, event, event_id in rows:
+            latest[event] = us
+            latest = {n: t for n, t in latest.items() if us - t <= self.window}
+            hit = len(latest) >= self.threshold
             if hit and not firing:
-                out.append((key[0], event_id, int(us), len(latest), ",".join(sorted(latest))))
+                out.append((key, event_id, us, len(latest), ",".join(sorted(latest))))
             firing = hit
-        state.update((list(latest), list(latest.values()), firing, [int(r[0]) for r in rest], [int(r[1]) for r in rest], [r[2] for r in rest], [r[3] for r in rest]))
-        _arm(state, rest)
-        yield pd.DataFrame(out, columns=["principal", "event_id", "us", "distinct_names", "names"])
+        return (list(latest), list(latest.values()), firing), out
 
-    return (events.filter(is_read_action(F.col("event"))).withWatermark("ts", delay).groupBy("principal").applyInPandasWithState(
-        step, "principal STRING, event_id STRING, us BIGINT, distinct_names BIGINT, names STRING",
-        "names ARRAY<STRING>, times ARRAY<BIGINT>, firing BOOLEAN, wait_us ARRAY<BIGINT>, wait_seq ARRAY<BIGINT>, wait_ev ARRAY<STRING>, wait_id ARRAY<STRING>",
-        "append", GroupStateTimeout.EventTimeTimeout))
+
+def stream_enumeration_bursts(events: DataFrame, window_minutes: int = 5, distinct_threshold: int = 8, delay: str = "1 hour") -> DataFrame:
+    """Rising edges of distinct read APIs in the trailing window. Needs the RocksDB state store."""
+    reads = events.filter(is_read_action(F.col("event"))).withWatermark("ts", delay).select("principal", "us", "seq", "event", "event_id", "ts")
+    return reads.groupBy("principal").transformWithStateInPandas(
+        _Bursts(window_minutes * MINUTE, distinct_threshold), "principal STRING, event_id STRING, us BIGINT, distinct_names BIGINT, names STRING", "Append", "EventTime")
 
 
 # ---------------------------------------------------------------- windows
@@ -144,8 +176,8 @@ def start_append(stream: DataFrame, output: str, checkpoint: str) -> StreamingQu
 
 
 def start_case_feed(changed: DataFrame, root: str, checkpoint: str, key: str = "case_id", version: str = "version") -> StreamingQuery:
-    """Keyed case rows kept up to date: each micro-batch is merged into the latest snapshot."""
-    from skyledger.sources.sinks import upsert
+    """Keyed case rows kept up to date: each micro-batch is merged into the buckets of its keys."""
+    from skyledger.sources.store import upsert
 
     def merge(batch: DataFrame, epoch: int) -> None:
         if not batch.isEmpty():
@@ -156,16 +188,45 @@ def start_case_feed(changed: DataFrame, root: str, checkpoint: str, key: str = "
 
 def drain(stream: DataFrame, name: str) -> DataFrame:
     """Run an append stream over all available input into the shared folder and return what it wrote."""
-    import uuid
     spark = stream.sparkSession
     root = f"{checkpoint_root(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
     start_append(stream, f"{root}/out", f"{root}/state").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """The state store with timers and map state, for the streams started inside."""
+    before = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(_STORE, before)
+
+
+def drain_to_the_end(build: Callable[[str], DataFrame], rows: DataFrame, marker: DataFrame, name: str) -> DataFrame:
+    """Run the stream ``build(folder)`` over ``rows`` landed in a folder, and then past their end.
+
+    ``marker``: rows of a later time that the stream's filters let through. They are landed after everything else; the restarted query takes them
+    in, its watermark passes all rows before, and what waited for it comes out.
+    """
+    spark = rows.sparkSession
+    root = f"{checkpoint_root(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{root}/in")
+    with rocks(spark):
+        start_append(build(f"{root}/in"), f"{root}/out", f"{root}/state").awaitTermination()
+        marker.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = build(f"{root}/in")
+        start_append(stream, f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
 def complete(stream: DataFrame, name: str) -> DataFrame:
     """Run a windowed stream over all available input and return its full result, open windows included."""
-    import uuid
     spark = stream.sparkSession
     root = f"{checkpoint_root(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
     last: list[str] = []

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from skyledger.functions import sliced
 from skyledger.functions.columns import glob_matches, ipv4_to_long, json_list
 from skyledger.operators import behaviour, context, exposure, graph, metrics, normalise, rules
-from skyledger.sources import audit, sinks, snapshots
+from skyledger.sources import audit, sinks, snapshots, store
 from tests import fixtures as fx
 
 
@@ -143,9 +143,9 @@ def test_sources(spark, tmp_path):
 def test_stores(spark, tmp_path):
     root = str(tmp_path / "cases")
     frame = lambda rows: spark.createDataFrame(rows, "case_id STRING, payload STRING, version BIGINT")
-    sinks.upsert(frame([("a", "1", 1), ("b", "1", 1)]), root, "case_id", "version")
-    latest = sinks.upsert(frame([("a", "2", 2), ("b", "0", 0), ("c", "1", 1)]), root, "case_id", "version")
-    assert {(r["case_id"], r["payload"]) for r in spark.read.parquet(latest).collect()} == {("a", "2"), ("b", "1"), ("c", "1")}
+    store.upsert(frame([("a", "1", 1), ("b", "1", 1)]), root, "case_id", "version")
+    store.upsert(frame([("a", "2", 2), ("b", "0", 0), ("c", "1", 1)]), root, "case_id", "version")
+    assert {(r["case_id"], r["payload"]) for r in store.read_store(spark, root, "case_id", "version").collect()} == {("a", "2"), ("b", "1"), ("c", "1")}
     log = str(tmp_path / "audit")
     rec = lambda ids: spark.createDataFrame([(i, "t", "case-1") for i in ids], "record_id STRING, ts STRING, case_id STRING")
     sinks.insert_audit_if_absent(rec(["1", "2"]), log)
@@ -173,7 +173,7 @@ def test_case_feed_keeps_the_newest_row(spark, tmp_path):
     jobs.start_case_feed(spark.readStream.schema(schema).parquet(src), root, state).awaitTermination()
     spark.createDataFrame([("case-1", 0.9, 2)], schema).coalesce(1).write.mode("append").parquet(src)
     jobs.start_case_feed(spark.readStream.schema(schema).parquet(src), root, state).awaitTermination()
-    got = spark.read.parquet(sinks.latest_snapshot(spark, root)).collect()
+    got = store.read_store(spark, root, "case_id", "version").collect()
     assert {(r["case_id"], r["rank"]) for r in got} == {("case-1", 0.9), ("case-2", 0.5)}
 
 

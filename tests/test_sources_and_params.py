@@ -7,7 +7,8 @@ import json
 from pyspark.sql import functions as F
 
 from skyledger.operators import normalise, rules
-from skyledger.sources import sinks, snapshots
+from skyledger.session import cut_lineage
+from skyledger.sources import snapshots, store
 
 
 def test_params_keep_order_numbers_and_escapes(spark):
@@ -32,10 +33,45 @@ def test_address_table_has_one_row_per_address(spark, tmp_path):
     assert rows == {("1.1.1.1", "AS9", "US"), ("2.2.2.2", "AS2", "FR")}
 
 
-def test_merges_are_numbered_and_an_epoch_counts_once(spark, tmp_path):
+def rows_of(spark, root):
+    return {r["id"]: r["version"] for r in store.read_store(spark, root, "id", "version").collect()}
+
+
+def frame(spark, *rows):
+    return spark.createDataFrame(list(rows), "id string, version long")
+
+
+def test_a_changed_key_rewrites_one_bucket_and_an_epoch_counts_once(spark, tmp_path):
+    root = str(tmp_path / "store")
+    assert store.read_store(spark, root, "id", "version") is None
+    store.upsert(frame(spark, *[(f"k{i}", 1) for i in range(200)]), root, "id", "version", "0", buckets=16)
+    before = {r["folder"] for r in store.valid_folders(store.log_of(spark, root)).collect()}
+    name = store.upsert(frame(spark, ("k7", 2)), root, "id", "version", "1")
+    after = {r["folder"] for r in store.valid_folders(store.log_of(spark, root)).collect()}
+    assert len(before) == 16 and len(before - after) == len(after - before) == 1
+    assert store.upsert(frame(spark, ("k7", 9)), root, "id", "version", "1") == name
+    assert rows_of(spark, root) == {**{f"k{i}": 1 for i in range(200)}, "k7": 2}
+
+
+def test_writers_side_by_side_lose_nothing(spark, tmp_path, monkeypatch):
+    """Both writers read the same log before either writes; later merges and readers see both."""
+    root = str(tmp_path / "store")
+    store.upsert(frame(spark, ("a", 1), ("b", 1)), root, "id", "version", buckets=1)
+    early = cut_lineage(store.log_of(spark, root))
+    monkeypatch.setattr(store, "log_of", lambda s, r: early)
+    store.upsert(frame(spark, ("a", 2), ("c", 1)), root, "id", "version")
+    store.upsert(frame(spark, ("a", 3), ("b", 0), ("d", 1)), root, "id", "version")
+    monkeypatch.undo()
+    assert store.valid_folders(store.log_of(spark, root)).count() == 2
+    assert rows_of(spark, root) == {"a": 3, "b": 1, "c": 1, "d": 1}
+    store.upsert(frame(spark, ("e", 1)), root, "id", "version")
+    assert store.valid_folders(store.log_of(spark, root)).count() == 1 and rows_of(spark, root) == {"a": 3, "b": 1, "c": 1, "d": 1, "e": 1}
+
+
+def test_new_columns_and_empty_changes(spark, tmp_path):
     root = str(tmp_path / "store")
-    frame = lambda v: spark.createDataFrame([("a", v)], "id string, version long")
-    paths = [sinks.upsert(frame(v), root, "id", "version", str(v)) for v in (1, 2, 3)]
-    assert sinks.latest_snapshot(spark, root) == paths[-1]
-    assert sinks.upsert(frame(9), root, "id", "version", "2") == paths[1] and sinks.latest_snapshot(spark, root) == paths[-1]
-    assert spark.read.parquet(paths[-1]).first()["version"] == 3
+    store.upsert(frame(spark), root, "id", "version", "0")
+    assert store.read_store(spark, root, "id", "version") is None
+    store.upsert(frame(spark, ("a", 1)), root, "id", "version", "1")
+    store.upsert(spark.createDataFrame([("b", 1, "x")], "id string, version long, note string"), root, "id", "version", "2")
+    assert {(r["id"], r["note"]) for r in store.read_store(spark, root, "id", "version").collect()} == {("a", None), ("b", "x")}
