@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.functions.sliced import with_running_sum
+from skyledger.session import cut_lineage
 
 
 def _ratio(n: Column, d: Column) -> Column:
@@ -41,19 +40,16 @@ def binary_metrics(df: DataFrame, expected: str = "expected", predicted: str = "
 
 # ---------------------------------------------------------------- ordered chains
 
-def _block_matrix(expected: list[str], actual: np.ndarray) -> np.ndarray:
-    """m[i, j] = longest common subsequence of expected[i:j] with one block of the actual sequence."""
-    n = len(expected)
-    out = np.zeros((n + 1, n + 1), dtype=np.int64)
-    for i in range(n):
-        best = np.zeros(n - i + 1, dtype=np.int64)
-        for action in actual:
-            step = best.copy()
-            for j, e in enumerate(expected[i:], 1):
-                step[j] = best[j - 1] + 1 if e == action else max(best[j], step[j - 1])
-            best = step
-        out[i, i:] = best
-    return out
+#: Truth actions of one machine word.
+WORD = 62
+
+
+def _row_by_bits(word: str) -> str:
+    """SQL for one block: longest common subsequences of truth[from ..] with the block, ending at every place of the word.
+
+    The places where the subsequence grows are the zero bits of one integer; an action updates all of them with an addition.
+    """
+    return f"aggregate({word}, whole, (v, m) -> ((v + (v & m)) | (v & ~m)) & whole)"
 
 
 def chain_accuracy(expected: DataFrame, actual: DataFrame, by: str = "scenario", block: int = 65_536) -> DataFrame:
@@ -61,37 +57,31 @@ def chain_accuracy(expected: DataFrame, actual: DataFrame, by: str = "scenario",
 
     ``expected(by, pos, action)`` is a short truth list, ``actual(by, pos, action)`` may be any length. The actual
     sequence is cut into blocks. Each block yields the matrix of its common subsequences with every span of the
-    expected list, and consecutive blocks combine as a max-plus product, so a long chain is never one group.
+    expected list, by integer operations on the bits of a word (truths of more than ``WORD`` actions: row by row of the table). Matrices of
+    neighbouring blocks combine as max-plus products in a tree, two at a time, so a long chain is never one group.
     """
     truth = expected.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "action"))), lambda s: s["action"]).alias("truth"))
     size = actual.groupBy(by).agg(F.count("*").alias("n_actual"))
     useful = actual.join(expected.select(by, "action").distinct(), [by, "action"], "left_semi")  # other actions never match
-    blocks = useful.withColumn("block", F.floor(F.col("pos") / block)).join(truth, by)
-
-    def per_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        m = _block_matrix(list(pdf["truth"].iloc[0]), pdf["action"].to_numpy())
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "block": [pdf["block"].iloc[0]], "m": [m.ravel().tolist()]})
-
-    dtype = dict(actual.dtypes)[by]
-    matrices = blocks.select(by, "block", "pos", "action", "truth").groupBy(by, "block").applyInPandas(per_block, f"`{by}` {dtype}, block BIGINT, m ARRAY<BIGINT>")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = None
-        for flat in pdf.sort_values("block")["m"]:
-            n = int(round(len(flat) ** 0.5))
-            m = np.asarray(flat, dtype=np.int64).reshape(n, n)
-            if total is None:
-                total = m
-            else:
-                out = np.zeros((n, n), dtype=np.int64)
-                for i in range(n):
-                    for j in range(i, n):
-                        out[i, j] = (total[i, i:j + 1] + m[i:j + 1, j]).max()
-                total = out
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "lcs": [int(total[0, -1])]})
-
-    lcs = matrices.groupBy(by).applyInPandas(fold, f"`{by}` {dtype}, lcs BIGINT")
+    blocks = (useful.withColumn("block", F.floor(F.col("pos") / block)).groupBy(by, "block")
+              .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "action"))), lambda s: s["action"]).alias("actions")).join(truth, by).withColumn("n", F.size("truth")))
+    # bit i of an action's mask: truth[i] is this action
+    mask = "transform(actions, a -> aggregate(sequence(0, n - 1), 0L, (acc, i) -> acc | if(truth[i] = a, shiftleft(1L, i), 0L)))"
+    short = (blocks.filter(F.col("n") <= WORD).withColumn("masks", F.expr(mask)).select(by, "block", "n", "masks", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("i"))
+             .withColumn("whole", F.expr("shiftleft(1L, n - i) - 1")).withColumn("word", F.expr("transform(masks, m -> shiftright(m, i))"))
+             .withColumn("v", F.expr(_row_by_bits("word")))
+             .withColumn("row", F.expr("transform(sequence(0, n), j -> if(j <= i, 0, (j - i) - bit_count(v & (shiftleft(1L, j - i) - 1))))")))
+    # the same rows cell by cell: new[j] is the largest of old[j], new[j - 1] and, where truth[j] is the action, old[j - 1] + 1
+    step = ("aggregate(actions, array_repeat(0, n + 1), (old, a) -> aggregate(sequence(1, n), array(0), (new, j) -> "
+            "concat(new, array(coalesce(if(j <= i, 0, greatest(old[j], new[j - 1], if(truth[j - 1] = a, old[j - 1] + 1, 0))), 0)))))")
+    long = blocks.filter(F.col("n") > WORD).select("*", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("i")).withColumn("row", F.expr(step))
+    rows = short.select(by, "block", "n", "i", "row").unionByName(long.select(by, "block", "n", "i", "row"))
+    matrices = cut_lineage(rows.groupBy(by, "block").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda s: s["row"]).alias("m")))
+    product = ("transform(sequence(0, n), i -> transform(sequence(0, n), j -> if(j < i, 0, array_max(transform(sequence(i, greatest(i, j)), k -> ms[0][i][k] + ms[1][k][j])))))")
+    while (matrices.agg(F.max("block")).first()[0] or 0) > 0:
+        pairs = matrices.groupBy(by, F.expr("block div 2").alias("half")).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("block", "m"))), lambda s: s["m"]).alias("ms"))
+        matrices = cut_lineage(pairs.select(by, F.col("half").alias("block"), "n", F.expr(f"if(size(ms) = 1, ms[0], {product})").alias("m")))
+    lcs = matrices.select(by, F.expr("m[0][n]").alias("lcs"))
     d = truth.join(size, by, "full").join(lcs, by, "left")
     n_truth, n_act = F.coalesce(F.size("truth"), F.lit(0)), F.coalesce("n_actual", F.lit(0))
     value = F.when(n_truth == 0, F.when(n_act == 0, 1.0).otherwise(0.0)).otherwise(

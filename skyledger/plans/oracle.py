@@ -186,6 +186,9 @@ SELECT principal, action, resource,
   id_deny IS NULL AND NOT r_deny AND id_allow IS NOT NULL AND bounded AND NOT b_deny AS boundary_limited,
   CASE WHEN id_deny IS NOT NULL THEN id_deny.l WHEN r_deny THEN 'resource-policy' WHEN id_allow IS NOT NULL AND bounded AND b_deny THEN 'boundary' WHEN id_allow IS NOT NULL THEN id_allow.l
        WHEN r_allow IS NOT NULL THEN 'resource-policy' END AS matched,
+  CASE WHEN id_deny IS NOT NULL THEN 'explicit Deny in ' || id_deny.l WHEN r_deny THEN 'explicit Deny in resource-policy' WHEN id_allow IS NOT NULL AND bounded AND b_deny THEN 'explicit Deny in permission boundary'
+       WHEN id_allow IS NOT NULL AND bounded AND b_allow IS NULL THEN 'action not permitted by permission boundary' WHEN id_allow IS NOT NULL AND bounded THEN 'permitted within permission boundary; Allow in ' || id_allow.l
+       WHEN id_allow IS NOT NULL THEN 'Allow in ' || id_allow.l WHEN r_allow IS NOT NULL THEN 'Allow via resource-based policy' ELSE 'no matching Allow (implicit deny)' END AS reason,
   CASE WHEN id_deny IS NOT NULL OR r_deny THEN 0 ELSE soft END AS potential_denies
 FROM d"""
 

@@ -402,7 +402,7 @@ def g7(w):
 _PROBE_ACTIONS = ["s3:GetObject", "s3:PutObject", "iam:CreatePolicyVersion", "iam:PutUserPolicy", "cloudtrail:StopLogging", "sts:AssumeRole", "s3:ListBucket"]
 o.CTES["probe"] = (f"SELECT arn AS principal, unnest({_PROBE_ACTIONS}) AS action, 'arn:aws:s3:::b' || (ordinal % (SELECT count(*) FROM part)) AS resource FROM principal "
                    "UNION ALL SELECT principal, 'iam:CreatePolicyVersion', policy FROM attachment")
-_DECISION = "principal, action, resource, effect, conditional, boundary_limited, matched, potential_denies"
+_DECISION = "principal, action, resource, effect, conditional, boundary_limited, reason, matched, potential_denies"
 
 
 def _probes(w: Workspace) -> DataFrame:
@@ -414,7 +414,7 @@ def _probes(w: Workspace) -> DataFrame:
 
 @register("G9_decisions", f"SELECT {_DECISION} FROM ({o.decisions('probe')})")
 def g9(w):
-    return graph.decide(_probes(w), w.permissions, w.index).drop("reason")
+    return graph.decide(_probes(w), w.permissions, w.index)
 
 
 @register("G10_effective_grants", "SELECT principal, label AS source, lower(effect) = 'deny' AS is_deny, CASE WHEN len(actions) > 0 THEN array_to_string(actions, ',') ELSE array_to_string(list_transform(not_actions, lambda x: 'NOT ' || x), ',') END AS actions FROM app")
@@ -675,29 +675,50 @@ _books = " UNION ALL ".join(f"SELECT '{p['id']}' AS playbook_id, '{k}' AS kind,
                             for k, wt, c in (("detection", 3, "detection_types"), ("technique", 2, "attack_ids"), ("action", 1, "action_names")))
 
 
-@register("T2_playbooks", f"""
-WITH t AS (SELECT DISTINCT case_id, 'detection' AS kind, key AS tag FROM cdet UNION SELECT case_id, 'technique', technique FROM ctech JOIN cases USING (comp) UNION SELECT case_id, 'action', action_key FROM plan), b AS ({_books})
-SELECT case_id, playbook_id, sum(weight) AS score FROM t JOIN b USING (kind, tag) GROUP BY ALL""")
+o.CTES["booktag"] = _books
+o.CTES["casetag"] = "SELECT DISTINCT case_id, 'detection' AS kind, key AS tag FROM cdet UNION SELECT case_id, 'technique', technique FROM ctech JOIN cases USING (comp) UNION SELECT case_id, 'action', action_key FROM plan"
+o.CTES["bookhit"] = "SELECT case_id, playbook_id, sum(weight) AS score FROM casetag JOIN booktag USING (kind, tag) GROUP BY ALL"
+o.CTES["dnum"] = ("SELECT case_id, key, i, coalesce(nullif(event_id, ''), 'case') || ':' || key || ':' || i AS ref FROM (SELECT case_id, key, event_id, row_number() OVER (PARTITION BY case_id ORDER BY stage, seq, sub, det_id) AS i FROM cdet)")
+# the hops of the worst identity's paths to an admin and to sensitive data
+o.CTES["way"] = ("SELECT case_id, 'privesc_admin' AS kind, principal, nodes, length FROM ranked JOIN path_admin ON principal = blast_principal WHERE length > 0 "
+                 "UNION ALL SELECT case_id, 'sensitive_resource', principal, nodes, length FROM ranked JOIN path_sens ON principal = blast_principal WHERE length > 0")
+o.CTES["hop"] = ("SELECT case_id, kind, i, CASE WHEN i = 0 THEN principal ELSE split_part(nodes, ',', i) END AS src, split_part(nodes, ',', i + 1) AS dst FROM (SELECT *, unnest(range(length))::INT AS i FROM way)")
+
+
+@register("T2_playbooks", "SELECT case_id, playbook_id, score FROM bookhit")
 def t2(w):
     return context.retrieve_playbooks(w.tags, w.playbooks)
 
 
-@register("T3_context_items", """
-SELECT case_id, 'case' AS section, count(*) AS n FROM ranked GROUP BY case_id UNION ALL SELECT case_id, 'event', count(*) FROM sel GROUP BY case_id UNION ALL SELECT case_id, 'detection', count(*) FROM cdet GROUP BY case_id
-UNION ALL SELECT case_id, 'chain-step', count(*) FROM steps GROUP BY case_id UNION ALL SELECT case_id, 'blast-component', 4 FROM ranked""")
+@register("T3_context_items", f"""
+SELECT case_id, 'case' AS section, 0::BIGINT AS ord, case_id AS ref, NULL AS about FROM ranked UNION ALL SELECT case_id, 'event', s.seq, event_id, s.event FROM sel s
+UNION ALL SELECT case_id, 'detection', i, ref, key FROM dnum UNION ALL SELECT case_id, 'chain-step', step_no, 'chain-step:' || step_no, action FROM steps
+UNION ALL SELECT case_id, 'path-hop', i, kind || ':' || (i + 1) || ':' || src || '->' || dst, kind FROM hop
+UNION ALL SELECT case_id, 'blast-component', i, case_id || ':' || n, n FROM ranked, (SELECT unnest({sorted(fixed.BLAST_WEIGHTS)}) AS n, unnest([0, 1, 2, 3]) AS i)
+UNION ALL SELECT case_id, 'playbook', 0, playbook_id, title FROM bookhit JOIN (SELECT unnest({[p["id"] for p in fixed.PLAYBOOKS]}) AS playbook_id, unnest({[p["title"] for p in fixed.PLAYBOOKS]}) AS title) USING (playbook_id)""")
 def t3(w):
+    """Every item of every section with its place, its reference and what it is about."""
     items = context.context_items(w.ranked, w.chain, w.cases["case_detection"], w.current, w.tags, w.playbooks)
-    return items.filter("section NOT IN ('path-hop', 'playbook')").groupBy("case_id", "section").agg(F.count("*").alias("n"))
+    field = {"event": "event", "detection": "key", "chain-step": "action", "path-hop": "kind", "blast-component": "name", "playbook": "title"}
+    about = F.coalesce(*[F.when(F.col("section") == k, F.get_json_object("item", f"$.{v}")) for k, v in field.items()])
+    return items.select("case_id", "section", "ord", "ref", about.alias("about"))
 
 
 @register("T4_summary_parts", """
-WITH d AS (SELECT case_id, key, event_id, row_number() OVER (PARTITION BY case_id ORDER BY stage, seq, sub, det_id) AS i FROM cdet), k AS (SELECT key, array_to_string(list(technique), ',') AS ids FROM kt GROUP BY key)
-SELECT case_id, 3 AS line, CASE WHEN i = 1 THEN 'Detections: ' ELSE '; ' END || key || ' (' || ids || ') [[ref:' || event_id || ':' || key || ':' || i || ']]' AS text FROM d JOIN k USING (key)
-UNION ALL SELECT case_id, 4, CASE WHEN step_no = 1 THEN 'Activity chain: ' ELSE ' -> ' END || action FROM steps
-UNION ALL SELECT case_id, 1, 'Case ' || case_id || ': ' || title || ' [[ref:' || case_id || ']].' FROM cases""")
+WITH k AS (SELECT key, array_to_string(list(technique), ',') AS ids FROM kt GROUP BY key), w AS (SELECT case_id, list(kind ORDER BY kind) AS kinds FROM way GROUP BY case_id),
+v AS (SELECT case_id, list(playbook_id ORDER BY score DESC, playbook_id) AS books FROM bookhit GROUP BY case_id)
+SELECT case_id, 1 AS line, 1::BIGINT AS part, 'Case ' || case_id || ': ' || title || ' [[ref:' || case_id || ']].' AS text FROM cases
+UNION ALL SELECT case_id, 2, 1, printf('Rank %.4f; detection confidence %.3f; blast radius %.1f/100 ', rank, score, blast) || '[[ref:' || case_id || ']] [[ref:' || case_id || ']].' FROM ranked
+UNION ALL SELECT case_id, 3, i, CASE WHEN i = 1 THEN 'Detections: ' ELSE '; ' END || key || ' (' || ids || ') [[ref:' || ref || ']]' FROM dnum JOIN k USING (key)
+UNION ALL SELECT DISTINCT case_id, 3, 4611686018427387904, '.' FROM cdet
+UNION ALL SELECT case_id, 4, step_no, CASE WHEN step_no = 1 THEN 'Activity chain: ' ELSE ' -> ' END || action FROM steps
+UNION ALL SELECT DISTINCT case_id, 4, 4611686018427387904, ' [[ref:activity-chain]].' FROM steps
+UNION ALL SELECT case_id, 5, 1, 'Graph paths: ' || array_to_string(kinds, ', ') || ' ' || array_to_string(list_transform(kinds, lambda x: '[[ref:' || x || ']]'), ' ') || '.' FROM w
+UNION ALL SELECT case_id, 6, 1, 'Matched playbooks: ' || array_to_string(list_transform(books, lambda x: x || ' v1.0.0 [[ref:' || x || ']]'), ', ') || '.' FROM v
+UNION ALL SELECT case_id, 7, 1, 'All attacker-controlled values remain inside structured DATA fields and are not rendered into this narrative [[ref:' || case_id || ']].' FROM ranked""")
 def t4(w):
     parts = context.summary_parts(w.ranked, w.chain["step"], w.cases["case_detection"], w.tags, w.playbooks)
-    return parts.filter("line IN (1, 3, 4) AND part < 4611686018427387904").select("case_id", "line", F.concat("lead", "text").alias("text"))
+    return parts.select("case_id", "line", "part", F.concat("lead", "text").alias("text"))
 
 
 def _texts(w: Workspace) -> DataFrame:
@@ -727,12 +748,12 @@ def t5d(w):
 SELECT case_id, unnest(['unsupported provenance ref: nowhere', 'unsupported ARN: arn:aws:iam::1:user/ghost', 'unsupported API/action: CreateGhost', 'unsupported resource: s3://ghost-bucket/x',
   'action directive detected', 'uncited sentence: Delete it now.']) AS violation FROM cases WHERE n_detections > 1""")
 def t5g(w):
+    """Every part of every summary is audited, with the citation that closes its line; cases of several detections get a bad part as well."""
     items = cut_lineage(context.context_items(w.ranked, w.chain, w.cases["case_detection"], w.current, w.tags, w.playbooks))
     parts = context.summary_parts(w.ranked, w.chain["step"], w.cases["case_detection"], w.tags, w.playbooks)
-    text = context.summary_text(parts.filter("line NOT IN (3, 4)"))  # the lines whose length does not grow with the case
-    bad = F.lit("\nSeen arn:aws:iam::1:user/ghost calling CreateGhost on s3://ghost-bucket/x [[ref:nowhere]]. Delete it now.")
-    many = w.cases["case"].select("case_id", (F.col("n_detections") > 1).alias("_many"))
-    drafts = text.join(many, "case_id").select("case_id", F.when(F.col("_many"), F.concat("summary", bad)).otherwise(F.col("summary")).alias("summary"))
+    rows = parts.select("case_id", F.concat("lead", "text", F.when(F.col("line") == 4, " [[ref:activity-chain]].").otherwise("")).alias("summary"))
+    bad = F.lit("Seen arn:aws:iam::1:user/ghost calling CreateGhost on s3://ghost-bucket/x [[ref:nowhere]]. Delete it now.")
+    drafts = rows.unionByName(w.cases["case"].filter("n_detections > 1").select("case_id", bad.alias("summary")))
     return context.audit_summaries(drafts, context.allowed_entities(items))
 
 
@@ -742,10 +763,11 @@ def t5g(w):
 WITH e AS (SELECT DISTINCT principal AS scenario, event AS key FROM hist), a AS (SELECT DISTINCT principal AS scenario, event AS key FROM cur),
 c AS (SELECT coalesce(e.scenario, a.scenario) AS scenario, count(*) FILTER (e.key IS NOT NULL AND a.key IS NOT NULL) AS tp, count(*) FILTER (e.key IS NULL) AS fp, 0::BIGINT AS tn, count(*) FILTER (a.key IS NULL) AS fn
   FROM e FULL JOIN a ON e.scenario = a.scenario AND e.key = a.key GROUP BY 1)
-SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall, CASE WHEN fp > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS false_positive_rate FROM c""")
+SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall, CASE WHEN fp > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS false_positive_rate,
+  CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / ((tp / (tp + fp)) + (tp / (tp + fn))) ELSE 0.0 END AS f1 FROM c""")
 def m1(w):
     key = lambda df: df.select(F.col("principal").alias("scenario"), F.col("event").alias("key"))
-    return metrics.rule_set_metrics(key(w.history), key(w.current)).drop("f1")
+    return metrics.rule_set_metrics(key(w.history), key(w.current))
 
 
 @register("M2_binary_metrics", """
@@ -756,11 +778,16 @@ def m2(w):
     return metrics.binary_metrics(d.select((F.col("toxic") == 1).alias("expected"), (F.col("n_chars") < 400).alias("predicted")))
 
 
-@register("M3_chain_accuracy", None)
+_TRUTH = ["ListRoles", "GetObject", "AssumeRole", "PutObject", "StopLogging", "GetObject"]
+
+
+@register("M3_chain_accuracy", f"""
+WITH best AS (SELECT principal, list_reduce(list_prepend([0, 0, 0, 0, 0, 0], list(list_transform({_TRUTH}, lambda t: CASE WHEN t = event THEN 1 ELSE 0 END) ORDER BY seq)),
+  lambda a, m: list_transform(range(1, 7), lambda j: CAST(list_max(list_transform(range(1, j + 1), lambda i: greatest(a[i], CASE WHEN m[i] = 0 THEN 0 WHEN i = 1 THEN 1 ELSE a[i - 1] + 1 END))) AS INT))) AS a, count(*) AS n FROM cur GROUP BY principal)
+SELECT principal, round(a[6] / greatest(6, n), 4) AS chain_accuracy FROM best""")
 def m3(w):
-    truth = ["ListRoles", "GetObject", "AssumeRole", "PutObject", "StopLogging", "GetObject"]
-    expected = w.current.select("principal").distinct().select("principal", F.posexplode(F.array(*map(F.lit, truth))).alias("pos", "action"))
-    return metrics.chain_accuracy(expected, w.current.select("principal", F.col("seq").alias("pos"), F.col("event").alias("action")), by="principal")
+    expected = w.current.select("principal").distinct().select("principal", F.posexplode(F.array(*map(F.lit, _TRUTH))).alias("pos", "action"))
+    return metrics.chain_accuracy(expected, w.current.select("principal", F.col("seq").alias("pos"), F.col("event").alias("action")), by="principal", block=1000)
 
 
 @register("M4_correlation_score", """

@@ -234,4 +234,4 @@ def s7_resources(w):
 def s7_decisions(w):
     """Decisions over permission tables that came through the snapshot reader."""
     s = _snapshot(w)
-    return graph.decide(r._probes(w), s, graph.statement_index(s)).drop("reason")
+    return graph.decide(r._probes(w), s, graph.statement_index(s))

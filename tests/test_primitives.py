@@ -190,3 +190,23 @@ def test_plans_push_filters_and_avoid_nested_loops(spark, tmp_path):
     assert "GreaterThanOrEqual(us,5)" in plan and "user_agent" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
     plan = b.automation_iam_writes(ev)._jdf.queryExecution().executedPlan().toString()
     assert "In(event" in plan and "Exchange" not in plan
+
+
+def test_chain_accuracy_of_long_truths_and_chains(spark):
+    """Against the full table: words of bits, truths beyond a word, blocks without a useful action, many rounds of the tree."""
+    rnd = random.Random(4)
+    truths = {"bits": 9, "word": metrics.WORD, "cells": metrics.WORD + 20, "empty": 0, "unseen": 5}
+    expected = {k: [rnd.choice("abcde") for _ in range(n)] for k, n in truths.items()}
+    chains = {k: [rnd.choice("abcdexyz") for _ in range(rnd.randint(60, 200))] for k in truths if k != "unseen"}
+    chains["bits"][20:50] = ["z"] * 30
+    rows = lambda d: spark.createDataFrame([(k, i, a) for k, v in d.items() for i, a in enumerate(v)], "scenario string, pos long, action string")
+    got = {r[0]: r[1] for r in metrics.chain_accuracy(rows(expected), rows(chains), block=7).collect()}
+    for k in truths:
+        e, a = expected[k], chains.get(k, [])
+        table = [0] * (len(a) + 1)
+        for x in e:
+            table, old = [0], table
+            for j, y in enumerate(a, 1):
+                table.append(old[j - 1] + 1 if x == y else max(old[j], table[j - 1]))
+        want = (1.0 if not a else 0.0) if not e else round(table[-1] / max(len(e), len(a)), 4)
+        assert got.get(k, 1.0) == pytest.approx(want, abs=1e-9), k
