@@ -42,6 +42,11 @@ class _WordHashes(dict):
 _WORDS = _WordHashes()
 
 
+def release_words() -> None:
+    """Empty the cache of this process. Workers are used again by later stages, which need the memory for their own."""
+    _WORDS.clear()
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """Hashes (uint64) of the words of ``text`` with A-Z lower-cased, in order; empty for null."""
     if not text:

@@ -13,6 +13,7 @@ among equal lengths: a rank inside the tokenising partition plus the counts of t
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skyledger.llm.common import release_words
 from skyledger.session import cut_lineage
 
 TIERS = (2048, 1024, 512, 256)
@@ -47,18 +49,18 @@ class Units(dict):
     """
 
     def __init__(self, vocabulary: str):
+        import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_file(vocabulary)
+        # the vocabulary is read as the JSON it is: a second tokenizer library would double the memory of a worker
+        with open(vocabulary, encoding="utf-8") as file:
+            whole = json.load(file)
         # the byte alphabet of the vocabulary file: printable code points stand for themselves, the rest follow from 256 on
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         spare = iter(range(256, 512))
         byte = {chr(b if b in plain else next(spare)): b for b in range(256)}
-        ranks = {bytes(byte[c] for c in token): i for token, i in whole.get_vocab(with_added_tokens=False).items() if token != _SPECIAL}
-        import public_tokenizers
-
-        self.special = whole.token_to_id(_SPECIAL)
+        ranks = {bytes(byte[c] for c in token): i for token, i in whole["model"]["vocab"].items() if token != _SPECIAL}
+        self.special = next(t["id"] for t in whole["added_tokens"] if t["content"] == _SPECIAL)
         self.fast = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={_SPECIAL: self.special})
 
     def __missing__(self, unit: str) -> bytes:
@@ -96,6 +98,7 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int = 1, window: int = T
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_words()
         units, end = _units(vocabulary), np.array([end_id], "<u4").tobytes()
         chunk = TaskContext.get().partitionId()
         row, full, ranks, out, held = chunk << 40, 0, Counter(), [], 0

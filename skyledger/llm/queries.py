@@ -43,7 +43,8 @@ def op8_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).withColumnRenamed("toxicity", "score")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")  # a column of the result's names would clash
+    rows = toxicity.scored(docs, read(spark, sf_dir, "labels")).withColumnRenamed("toxicity", "score")
     return rows.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -111,9 +112,13 @@ general AS (SELECT p.t, list(CASE WHEN s.token IS NOT NULL THEN p.token ELSE '<*
     FROM places p LEFT JOIN shared s USING (n, lead, i, token) GROUP BY p.t),
 template AS (SELECT t, g FROM general WHERE len(list_filter(g, lambda x: x <> '<*>')) >= 0.7 * len(g)),
 rows AS (SELECT doc_id, text, pos, coalesce(g, m.t) AS g FROM masked m LEFT JOIN template USING (t)),
-beside AS (SELECT *, (lag(g) OVER w, lead(g) OVER w) AS context FROM rows WINDOW w AS (PARTITION BY doc_id, text ORDER BY pos)),
-once AS (SELECT g, doc_id, text, arg_min(context, pos) AS context FROM beside GROUP BY 1, 2, 3),
-recurring AS (SELECT g FROM once GROUP BY g HAVING count(*) >= 3 AND 2 * count(DISTINCT context) >= count(*)),
+shared_lines AS (SELECT g, count(DISTINCT (doc_id, text)) AS docs FROM rows GROUP BY g HAVING count(DISTINCT (doc_id, text)) >= 3),
+flagged AS (SELECT doc_id, text, pos, g, docs, CASE WHEN docs IS NULL THEN g END AS own FROM rows LEFT JOIN shared_lines USING (g)),
+beside AS (SELECT *, last_value(own IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ahead, first_value(own IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS behind,
+    count(docs) OVER (PARTITION BY doc_id, text) > CAST(0.75 AS DOUBLE) * count(*) OVER (PARTITION BY doc_id, text) AS copy, first_value(g) OVER (PARTITION BY doc_id, text ORDER BY docs DESC NULLS LAST, pos) AS common
+    FROM flagged WINDOW w AS (PARTITION BY doc_id, text ORDER BY pos)),
+once AS (SELECT g, doc_id, text, arg_min(CASE WHEN copy THEN {'c': common, 'a': NULL, 'b': NULL} ELSE {'c': NULL, 'a': ahead, 'b': behind} END, pos) AS context FROM beside WHERE docs IS NOT NULL GROUP BY 1, 2, 3),
+recurring AS (SELECT g FROM once GROUP BY g HAVING count(DISTINCT context) >= 3),
 gone AS (SELECT doc_id, text, pos FROM rows SEMI JOIN recurring USING (g)),
 kept AS (SELECT r.doc_id, r.text, string_agg(line, chr(10) ORDER BY r.pos) AS left_text FROM raw r ANTI JOIN gone g ON r.doc_id = g.doc_id AND r.text = g.text AND r.pos = g.pos GROUP BY 1, 2),
 lost AS (SELECT doc_id, text, count(*) AS k FROM gone GROUP BY 1, 2)

@@ -90,7 +90,7 @@ def recurring(rows: DataFrame) -> DataFrame:
     none = F.lit(0).cast("bigint")
     around = F.xxhash64(F.coalesce(F.last("own", True).over(ahead), none), F.coalesce(F.last("own", True).over(behind), none))
     copy = F.count("docs").over(whole) > COPY * F.count("*").over(whole)
-    common = F.max(F.struct("docs", "template")).over(whole)["template"]  # near copies of a document have the same one
+    common = F.max(F.struct("docs", -F.col("pos"), "template")).over(whole)["template"]  # near copies of a document have the same one
     context = F.when(copy, F.xxhash64(common)).otherwise(around)
     once = each.select("template", "doc", "pos", "docs", context.alias("context")).filter("docs is not null").groupBy("template", "doc").agg(
         F.min_by("context", "pos").alias("context"))

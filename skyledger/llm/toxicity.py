@@ -158,5 +158,9 @@ def scorer(weights: dict[bytes, float], intercept: float):
 
 
 def scored(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """``docs`` with ``toxicity`` (0 to 1). Every row is scored by its whole text alone; repeated rows score alike."""
+    """``docs`` with ``toxicity`` (0 to 1). Every row is scored by its whole text alone; repeated rows score alike.
+
+    Null and empty texts get the intercept; an empty table stays empty. A column ``toxicity`` of the input is replaced, other columns stay.
+    Words of more than 64 bytes are no features, and the ``WORDS`` strongest words are: both bound the model, not the texts.
+    """
     return docs.withColumn("toxicity", scorer(*train(docs, labels, most))(F.col("text")))
