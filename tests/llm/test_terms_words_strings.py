@@ -241,6 +241,16 @@ def test_no_documents(spark, none):
     assert induced.without_repeats(none).count() == 0
 
 
+def test_toxicity_query_with_columns_of_its_own_names(spark, tmp_path):
+    """``score`` and ``toxicity`` in the documents neither clash nor are read as inputs."""
+    docs = spark.createDataFrame([(i, ["a kind word", "you stupid fool", None, ""][i % 4], float(i), 0.5) for i in range(60)], "doc_id long, text string, score double, toxicity double")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs.selectExpr("doc_id", "1 AS quality", "cast(doc_id % 4 = 1 AS int) AS toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    got = queries.QUERIES["op9_counterfactual_toxicity"](spark, str(tmp_path)).collect()
+    assert len(got) == 60 and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    assert all(r["predicted"] == (r["doc_id"] % 4 == 1) and r["predicted"] == (r["score"] >= 0.5) for r in got)
+
+
 def test_registered_columns(spark):
     for name, columns in (("op11_pair_bound_maxscore", ["item_id", "rank", "doc_id", "score"]), ("op12_pivotal_grams", ["word", "n", "n_near", "form", "form_n", "root"]),
                           ("op13_induced_sorting", ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])):
