@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -28,7 +29,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     chosen = os.environ.get("BENCH_QUERIES", "").split(",") if os.environ.get("BENCH_QUERIES") else HEADLINE
     spark = build_session("bench", f"local[{cpus}]", **{
-        "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": os.environ.get("BENCH_MEMORY", "20g")})
+        "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": os.environ.get("BENCH_MEMORY", "20g"),
+        "spark.checkpoint.dir": f"file://{tempfile.mkdtemp(prefix='bench-')}"})
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{folder.rstrip('/')}/events.parquet").groupBy("user_id").count().write.format("noop").mode("overwrite").save()  # warm the JVM
     took: dict[str, float] = {}
