@@ -226,10 +226,27 @@ for _g in ("admin", "sens", "both"):
     CTES[f"dist_{_g}"] = f"SELECT node, min(d) AS d FROM walk_{_g} GROUP BY node"
     CTES[f"next_{_g}"] = (f"SELECT e.*, a.d FROM esc e JOIN dist_{_g} a ON a.node = e.src JOIN dist_{_g} b ON b.node = e.dst WHERE a.d > 0 AND b.d = a.d - 1 "
                           f"QUALIFY row_number() OVER (PARTITION BY e.src ORDER BY e.ord) = 1")
-    CTES[f"trail_{_g}"] = (f"SELECT node AS principal, node AS at, '' AS techniques, '' AS nodes, 0 AS len, false AS conditional FROM dist_{_g} UNION ALL SELECT t.principal, n.dst, CASE WHEN t.len = 0 THEN n.technique ELSE t.techniques || ',' || n.technique END, "
-                           f"CASE WHEN t.len = 0 THEN n.dst ELSE t.nodes || ',' || n.dst END, t.len + 1, t.conditional OR n.conditional FROM trail_{_g} t JOIN next_{_g} n ON n.src = t.at")
-    CTES[f"path_{_g}"] = f"SELECT t.principal, t.at AS target, g.priv AS target_priv, t.techniques, t.nodes, t.len AS length, t.conditional FROM trail_{_g} t JOIN g_{_g} g ON g.node = t.at"
+    CTES[f"trail_{_g}"] = (f"SELECT node AS principal, node AS at, '' AS techniques, '' AS nodes, 0 AS len, false AS conditional, '' AS flags FROM dist_{_g} UNION ALL SELECT t.principal, n.dst, CASE WHEN t.len = 0 THEN n.technique ELSE t.techniques || ',' || n.technique END, "
+                           f"CASE WHEN t.len = 0 THEN n.dst ELSE t.nodes || ',' || n.dst END, t.len + 1, t.conditional OR n.conditional, t.flags || CASE WHEN n.conditional THEN '?' ELSE '-' END FROM trail_{_g} t JOIN next_{_g} n ON n.src = t.at")
+    CTES[f"path_{_g}"] = f"SELECT t.principal, t.at AS target, g.priv AS target_priv, t.techniques, t.nodes, t.len AS length, t.conditional, t.flags FROM trail_{_g} t JOIN g_{_g} g ON g.node = t.at"
 CTES["paths"] = "SELECT p.* FROM path_both p JOIN principal q ON q.arn = p.principal WHERE length > 0"
+
+
+def _earlier() -> None:
+    """The tables up to the paths once more over the earlier snapshot, as ``<name>_before``."""
+    moved = ["attachment", "trust_statement"]
+
+    def point(names: list[str]) -> re.Pattern:
+        return re.compile(rf"\b((?:FROM|JOIN|,)\s+)({'|'.join(names)})\b")
+
+    for name in list(CTES):
+        if name not in VIEWS and point(moved).search(CTES[name]):
+            moved.append(name)
+    for name in moved[2:]:
+        CTES[f"{name}_before"] = point(moved).sub(r"\1\2_before", CTES[name])
+
+
+_earlier()
 _verbs = "|".join(fixed.IAM_WRITE_VERBS)
 CTES["blast"] = f"""
 SELECT arn AS principal, rs AS reach_sensitive, ra AS reach_admin, pa AS privesc_available, cp AS current_privilege,

@@ -483,11 +483,14 @@ def p10(w):
                     F.array_join(F.transform("hops", lambda h: h["dst"]), ",").alias("nodes"), "length", "conditional")
 
 
-@register("B16_new_paths", """SELECT principal, target, techniques FROM paths WHERE principal NOT IN (SELECT arn FROM principal WHERE boundary IS NULL AND ptype = 'user')""")
+@register("B16_new_paths", """SELECT principal, target, techniques FROM paths p WHERE NOT EXISTS (SELECT 1 FROM paths_before b WHERE b.principal = p.principal AND b.target = p.target
+  AND b.target_priv = p.target_priv AND b.techniques = p.techniques AND b.nodes = p.nodes AND b.flags = p.flags)""")
 def b16(w):
     after = escalation.escalation_paths(w.permissions, w.graph["edges"], w.index)
-    known = w.permissions["principal"].filter("boundary IS NULL AND ptype = 'user'").select(F.col("arn").alias("principal"))
-    return escalation.new_paths(after.join(known, "principal", "left_semi"), after).select("principal", "target", F.array_join("techniques", ",").alias("techniques"))
+    earlier = w.permissions_before
+    index = graph.statement_index(earlier)
+    before = escalation.escalation_paths(earlier, cut_lineage(escalation.escalation_edges(earlier, index)), index)
+    return escalation.new_paths(before, after).select("principal", "target", F.array_join("techniques", ",").alias("techniques"))
 
 
 # ================================================================ chains and ranking

@@ -157,6 +157,11 @@ SELECT '{ACCOUNT}', {_role('s_suppkey')}, 2199023255552 + s_suppkey, CAST(100000
   {{list}}(CASE s_suppkey % 3 WHEN 0 THEN 'lambda.amazonaws.com' WHEN 1 THEN 'ec2.amazonaws.com' ELSE 'ecs.amazonaws.com' END) FROM supplier
 """
 
+#: The attachments and trusts an earlier snapshot holds: those of the orders placed until then.
+SNAPSHOT_DAY = "DATE '2001-01-01'"
+for _name in ("attachment", "trust_statement"):
+    VIEWS[f"{_name}_before"] = VIEWS[_name].replace("FROM orders JOIN", f"FROM (SELECT * FROM orders WHERE o_orderdate < {SNAPSHOT_DAY}) orders JOIN")
+
 
 def view_sql(name: str, engine: dict[str, str]) -> str:
     text = VIEWS[name]

@@ -72,6 +72,12 @@ class Workspace:
         names = ["principal", "attachment", "membership", "inline_policy", "policy", "resource", "statement", "trust_statement"]
         return self.once("permissions", lambda: {n: cut_lineage(self.view(n)) for n in names})
 
+    @property
+    def permissions_before(self) -> dict[str, DataFrame]:
+        """The earlier snapshot: the same accounts and policies, attachments and trusts as they were."""
+        earlier = {n: f"{n}_before" for n in ("attachment", "trust_statement")}
+        return self.once("permissions_before", lambda: {**self.permissions, **{n: cut_lineage(self.view(v)) for n, v in earlier.items()}})
+
     @property
     def index(self) -> DataFrame:
         return self.once("index", lambda: graph.statement_index(self.permissions))
