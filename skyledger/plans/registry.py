@@ -536,7 +536,26 @@ def x7(w):
     return ranking.rank_cases(w.cases, w.chain["step"], w.blast).select("case_id", "blast_principal", "blast", "score", "rank")
 
 
-@register("X5_explanations", None)
+o.CTES["capable"] = f"""
+SELECT arn AS principal, arn IN (SELECT principal FROM admins) AS is_admin, arn IN (SELECT src FROM esc WHERE kind = 'CAN_ACCESS') AS read_sensitive,
+  arn IN (SELECT principal FROM app WHERE lower(effect) = 'allow' AND NOT conditional AND (len(resources) > 0 OR len(not_resources) > 0) AND len(list_filter(actions, lambda x: lower(x) IN ('*', 'iam:*') OR regexp_matches(lower(x), '^iam:.*({o._verbs})'))) > 0) AS iam_write,
+  arn IN (SELECT who FROM trust) AS can_assume FROM principal"""
+
+
+def _shown(kind: str) -> str:
+    """Text of one path: its hops with a mark on the conditional ones."""
+    hops = "list_transform(range(1, length + 1), lambda i: string_split(techniques, ',')[i] || CASE WHEN flags[i] = '?' THEN '?' ELSE '' END)"
+    return (f"SELECT principal, principal || '  ==' || array_to_string({hops}, '  ->  ') || '==>  ' || target_priv || CASE WHEN conditional THEN '  [conditional]' ELSE '' END AS shown "
+            f"FROM path_{kind} WHERE length > 0")
+
+
+_POINTS = ", ".join(f"printf('  {n:<18} value=%.2f x w={v:.2f} -> %.1f', CAST({n} AS DOUBLE), round({n} * {v} * 100, 1))" for n, v in fixed.BLAST_WEIGHTS.items())
+
+
+@register("X5_explanations", f"""
+SELECT b.principal, concat_ws(chr(10), printf('blast %.0f/100 for %s', blast, b.principal), {_POINTS}, '  admin path:     ' || a.shown, '  sensitive path: ' || s.shown,
+  '  current caps:   ' || CASE WHEN is_admin THEN 'admin-equivalent' ELSE nullif(concat_ws(', ', CASE WHEN read_sensitive THEN 'read_sensitive' END, CASE WHEN iam_write THEN 'iam_write' END, CASE WHEN can_assume THEN 'can_assume' END), '') END) AS explanation
+FROM blast b JOIN capable c USING (principal) LEFT JOIN ({_shown('admin')}) a USING (principal) LEFT JOIN ({_shown('sens')}) s USING (principal)""")
 def x5(w):
     return ranking.blast_explanation(w.blast).select("principal", "explanation")
 
@@ -917,10 +936,7 @@ def st7(w):
 
 # ================================================================ further views and parts
 
-@register("X2_X3_capabilities", f"""
-SELECT arn AS principal, arn IN (SELECT principal FROM admins) AS is_admin, arn IN (SELECT src FROM esc WHERE kind = 'CAN_ACCESS') AS read_sensitive,
-  arn IN (SELECT principal FROM app WHERE lower(effect) = 'allow' AND NOT conditional AND (len(resources) > 0 OR len(not_resources) > 0) AND len(list_filter(actions, lambda x: lower(x) IN ('*', 'iam:*') OR regexp_matches(lower(x), '^iam:.*({o._verbs})'))) > 0) AS iam_write,
-  arn IN (SELECT who FROM trust) AS can_assume FROM principal""")
+@register("X2_X3_capabilities", "SELECT * FROM capable")
 def x23(w):
     a = graph.identity_statements(w.index)
     flag = lambda df, name: df.select("principal").distinct().withColumn(name, F.lit(True))
