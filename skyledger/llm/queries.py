@@ -115,10 +115,17 @@ rows AS (SELECT doc_id, text, pos, coalesce(g, m.t) AS g FROM masked m LEFT JOIN
 shared_lines AS (SELECT g, count(DISTINCT (doc_id, text)) AS docs FROM rows GROUP BY g HAVING count(DISTINCT (doc_id, text)) >= 3),
 flagged AS (SELECT doc_id, text, pos, g, docs, CASE WHEN docs IS NULL THEN g END AS own FROM rows LEFT JOIN shared_lines USING (g)),
 beside AS (SELECT *, last_value(own IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ahead, first_value(own IGNORE NULLS) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS behind,
-    count(docs) OVER (PARTITION BY doc_id, text) > CAST(0.75 AS DOUBLE) * count(*) OVER (PARTITION BY doc_id, text) AS copy, first_value(g) OVER (PARTITION BY doc_id, text ORDER BY docs DESC NULLS LAST, pos) AS common
+    count(docs) OVER (PARTITION BY doc_id, text) > CAST(0.75 AS DOUBLE) * count(*) OVER (PARTITION BY doc_id, text) AS most, first_value(g) OVER (PARTITION BY doc_id, text ORDER BY docs DESC NULLS LAST, pos) AS frame
     FROM flagged WINDOW w AS (PARTITION BY doc_id, text ORDER BY pos)),
-once AS (SELECT g, doc_id, text, arg_min(CASE WHEN copy THEN {'c': common, 'a': NULL, 'b': NULL} ELSE {'c': NULL, 'a': ahead, 'b': behind} END, pos) AS context FROM beside WHERE docs IS NOT NULL GROUP BY 1, 2, 3),
-recurring AS (SELECT g FROM once GROUP BY g HAVING count(DISTINCT context) >= 3),
+ends AS (SELECT doc_id, text, pos, frame, docs IS NULL AS left_over, unnest([{'k': 0, 'a': t[1:6], 'b': []}, {'k': 1, 'a': t[greatest(len(t) - 5, 1):], 'b': []}, {'k': 2, 'a': t[1:3], 'b': t[greatest(len(t) - 2, 1):]}]) AS e
+    FROM beside JOIN masked USING (doc_id, text, pos) WHERE most),
+met AS (SELECT frame, e FROM ends GROUP BY 1, 2 HAVING count(DISTINCT (doc_id, text)) > 1),
+edits AS (SELECT doc_id, text, count(*) AS left_over, count(m) AS edited FROM (SELECT doc_id, text, pos, max(CASE WHEN met.frame IS NOT NULL THEN 1 END) AS m
+    FROM ends LEFT JOIN met USING (frame, e) WHERE left_over GROUP BY 1, 2, 3) GROUP BY 1, 2),
+once AS (SELECT g, doc_id, text, arg_min({'a': ahead, 'b': behind}, pos) AS around, bool_or(most) AS most, any_value(frame) AS frame FROM beside WHERE docs IS NOT NULL GROUP BY 1, 2, 3),
+recurring AS (SELECT g FROM once LEFT JOIN edits USING (doc_id, text) GROUP BY g HAVING CASE
+    WHEN 2 * sum(CASE WHEN most THEN coalesce(edited, 0) ELSE 0 END) >= sum(CASE WHEN most THEN coalesce(left_over, 0) ELSE 0 END)
+    THEN count(DISTINCT CASE WHEN most THEN {'c': frame, 'd': NULL} ELSE {'c': NULL, 'd': around} END) ELSE count(DISTINCT around) END >= 3),
 gone AS (SELECT doc_id, text, pos FROM rows SEMI JOIN recurring USING (g)),
 kept AS (SELECT r.doc_id, r.text, string_agg(line, chr(10) ORDER BY r.pos) AS left_text FROM raw r ANTI JOIN gone g ON r.doc_id = g.doc_id AND r.text = g.text AND r.pos = g.pos GROUP BY 1, 2),
 lost AS (SELECT doc_id, text, count(*) AS k FROM gone GROUP BY 1, 2)

@@ -6,8 +6,12 @@ place is a variable field too, as long as most of the line stays constant. What
 
 A template recurs if it stands in ``LEAST_DOCS`` contexts or more, however many copies each has. A context is the pair of
 lines around a run of lines that several documents share, so headers and footers of several lines go as a whole. Copies
-of one document have one context, as have near copies (documents with more than ``COPY`` of their lines shared); they are left
-to document deduplication. Recurring lines are dropped.
+of one document have one context, as have near copies; they are left to document deduplication. Recurring lines are dropped.
+
+Documents with more than ``COPY`` of their lines shared are near copies of each other or little more than boilerplate. What is
+left of them tells which: a line of a near copy is an edited one, so it agrees with a line of another such document in its
+first or last ``END`` tokens or in half as many at both ends; a line of its own does not. Of the documents that hold a template,
+those count as near copies if at least half of these remaining lines are edited ones; else each has its own context.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql.window import Window
 
 from skyledger.session import cut_lineage
 
-LEADING, LEAST_DOCS, CONSTANT, COPY = 3, 3, 0.7, 0.75
+LEADING, LEAST_DOCS, CONSTANT, COPY, END = 3, 3, 0.7, 0.75, 6
 ANY = "<*>"
 #: Columns of this step; the input's own of these names are not passed on.
 RESERVED = ("_doc", "_gone", "_n", "n_lines", "n_dropped")
@@ -51,11 +55,16 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc, pos, line, template) hashes of every line, and the general templates (line, template, pattern)."""
+    """(doc, pos, line, template, ends) hashes of every line, and the general templates (line, template, pattern).
+
+    ``ends``: hashes of the first ``END`` tokens, of the last ones, and of half as many at both ends.
+    """
     raw = lines(docs)
     n = F.length("masked") - F.length(F.replace(F.col("masked"), F.lit(" "), F.lit("")))
     leaf = F.xxhash64(n, F.substring_index("masked", " ", LEADING))
-    keyed = raw.select("doc", "pos", F.xxhash64("masked").alias("line"), F.when(n >= LEADING, leaf).alias("leaf"), "masked")
+    keyed = raw.select("doc", "pos", F.xxhash64("masked").alias("line"), F.when(n >= LEADING, leaf).alias("leaf"), "masked",
+                       F.array(F.xxhash64(F.lit(0), F.substring_index("masked", " ", END)), F.xxhash64(F.lit(1), F.substring_index("masked", " ", -END)),
+                               F.xxhash64(F.lit(2), F.substring_index("masked", " ", END // 2), F.substring_index("masked", " ", -(END // 2)))).alias("ends"))
     narrow = cut_lineage(keyed.drop("masked"))
     per_line = (narrow.filter("leaf is not null").groupBy("leaf", "line", "doc").agg(F.min("pos").alias("pos"))
                 .groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min_by("pos", "doc").alias("pos"), F.min("doc").alias("doc")))
@@ -74,14 +83,26 @@ def templates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                .filter(F.col("share") >= CONSTANT).select("line", F.array_join(F.transform("ts", lambda x: x["t"]), " ").alias("pattern")))
     general = cut_lineage(general.withColumn("template", F.xxhash64("pattern")).select(F.col("line").alias("_line"), "template", "pattern"))
     rows = narrow.join(general.select("_line", "template"), F.col("line") == F.col("_line"), "left").select(
-        "doc", "pos", "line", F.coalesce("template", "line").alias("template"))
+        "doc", "pos", "line", F.coalesce("template", "line").alias("template"), "ends")
     return cut_lineage(rows), general
 
 
+def _edits(shared_most: DataFrame, rows: DataFrame) -> DataFrame:
+    """(doc, left, edited): lines that are not shared, and those of them that agree with a line of another document of the frame.
+
+    ``shared_most``: (doc, pos, frame, own) of every line of the documents that share most of theirs.
+    """
+    keys = (shared_most.join(rows.select("doc", "pos", "ends"), ["doc", "pos"])
+            .select("frame", "doc", "pos", "own", F.explode(F.array_distinct("ends")).alias("end")))
+    met = keys.groupBy("frame", "end").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo <> hi").select("frame", "end", F.lit(1).alias("met"))
+    per_line = keys.filter("own").join(met, ["frame", "end"], "left").groupBy("doc", "pos").agg(F.max("met").alias("met"))
+    return per_line.groupBy("doc").agg(F.count("*").alias("left"), F.count("met").alias("edited"))
+
+
 def recurring(rows: DataFrame) -> DataFrame:
     """(template, contexts) of the templates to drop."""
     shared = rows.groupBy("template", "doc").agg(F.lit(1)).groupBy("template").agg(F.count("*").alias("docs")).filter(f"docs >= {LEAST_DOCS}")
-    flagged = rows.distinct().join(shared, "template", "left")  # rows that repeat a document
+    flagged = rows.select("doc", "pos", "template").distinct().join(shared, "template", "left")  # rows that repeat a document
     own = F.when(F.col("docs").isNull(), F.col("template"))
     each = flagged.select("template", "doc", "pos", "docs", own.alias("own")).repartition("doc")
     ahead = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,13 +110,24 @@ def recurring(rows: DataFrame) -> DataFrame:
     whole = Window.partitionBy("doc")
     none = F.lit(0).cast("bigint")
     around = F.xxhash64(F.coalesce(F.last("own", True).over(ahead), none), F.coalesce(F.last("own", True).over(behind), none))
-    copy = F.count("docs").over(whole) > COPY * F.count("*").over(whole)
+    most = F.count("docs").over(whole) > COPY * F.count("*").over(whole)
     common = F.max(F.struct("docs", -F.col("pos"), "template")).over(whole)["template"]  # near copies of a document have the same one
-    context = F.when(copy, F.xxhash64(common)).otherwise(around)
-    once = each.select("template", "doc", "pos", "docs", context.alias("context")).filter("docs is not null").groupBy("template", "doc").agg(
-        F.min_by("context", "pos").alias("context"))
-    per = once.groupBy("template", "context").agg(F.lit(1)).groupBy("template").agg(F.count("*").alias("contexts"))
-    return per.filter(f"contexts >= {LEAST_DOCS}")
+    placed = each.select("template", "doc", "pos", "docs", around.alias("around"), F.when(most, common).alias("frame"))
+    placed = cut_lineage(placed.filter("docs is not null or frame is not null"))
+    edits = _edits(placed.filter("frame is not null").select("doc", "pos", "frame", F.col("docs").isNull().alias("own")), rows)
+    once = placed.filter("docs is not null").groupBy("template", "doc").agg(F.min_by("around", "pos").alias("around"), F.first("frame").alias("frame"))
+    once = once.join(edits, "doc", "left")
+    # both readings of a document that shares most lines: one of its frame's near copies, or a context of its own
+    copy, single = F.struct(F.xxhash64("frame").alias("context"), F.lit(True).alias("copies"), F.lit(False).alias("singles")), F.struct(
+        F.col("around").alias("context"), F.lit(False).alias("copies"), F.lit(True).alias("singles"))
+    both = F.struct(F.col("around").alias("context"), F.lit(True).alias("copies"), F.lit(True).alias("singles"))
+    read = once.select("template", F.explode(F.when(F.col("frame").isNull(), F.array(both)).otherwise(F.array(copy, single))).alias("r"),
+                       F.coalesce("left", F.lit(0)).alias("left"), F.coalesce("edited", F.lit(0)).alias("edited"))
+    per = (read.groupBy("template", F.col("r.context").alias("context"))
+           .agg(F.max("r.copies").alias("copies"), F.max("r.singles").alias("singles"), F.sum("left").alias("left"), F.sum("edited").alias("edited"))
+           .groupBy("template").agg(F.count_if("copies").alias("copies"), F.count_if("singles").alias("singles"), F.sum("left").alias("left"), F.sum("edited").alias("edited")))
+    contexts = F.when(2 * F.col("edited") >= F.col("left"), F.col("copies")).otherwise(F.col("singles"))
+    return per.select("template", contexts.alias("contexts")).filter(f"contexts >= {LEAST_DOCS}")
 
 
 def cleaned(docs: DataFrame) -> DataFrame:

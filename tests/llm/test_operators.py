@@ -211,13 +211,30 @@ def test_copies_and_long_passages_do_not_keep_recurring_lines(spark):
     for _ in range(6):
         a, b, c, d, e, f = (line() for _ in range(6))
         lost += [([a, "A line between different others", b], [a, b]), ([c, d, *footer], [c, d]), ([e, *footer, f], [e, f])]
-        kept.append([*edited[:4], line(), *edited[5:]])  # near copies stay
+        word = edited[4].split(" ")
+        word[RNG.integers(0, 9)] = "edit" + "abcdef"[len(kept)]
+        kept.append([*edited[:4], " ".join(word), *edited[5:]])  # near copies stay
     lost += [(copied, [copied[0], *copied[2:]])] * 40
     rows = [(i, "\n".join(t), "\n".join(left)) for i, (t, left) in enumerate([*lost, *((k, k) for k in kept)])]
     got = {r["doc_id"]: r["text"] for r in templates.cleaned(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
     assert got == {i: left for i, _, left in rows}
 
 
+def test_documents_that_are_mostly_boilerplate_lose_it(spark):
+    line = lambda: " ".join(sentence(9))
+    rows = []
+    for own in (1, 2, 3, 10):
+        boilerplate = [line() for _ in range(6)]
+        for i in range(100):
+            mine = [line() for _ in range(own)]
+            cut = int(RNG.integers(0, own + 1))
+            rows.append((1000 * own + i, "\n".join([*mine[:cut], *boilerplate, *mine[cut:]]), "\n".join(mine)))
+    alone = [line() for _ in range(4)]
+    rows += [(i, "\n".join(alone), "\n".join(alone)) for i in range(50)]  # copies of one document
+    got = {r["doc_id"]: r["text"] for r in templates.cleaned(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert got == {i: left for i, _, left in rows}
+
+
 def test_identity_terms_do_not_carry_toxicity(spark):
     rows = []
     for i in range(600):
