@@ -13,7 +13,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from skyledger.llm import vectors
 from skyledger.session import cut_lineage
@@ -124,40 +123,35 @@ def nearest(rows: DataFrame, is_query, k: int = 20, beam: int = BEAM) -> DataFra
     """
     rows = vectors.valid(rows, zero=False)
     queries = rows.filter(is_query)
-    n, m = rows.count(), queries.count()
-    blocks = max(1, -(-m // QUERIES))
+    n = rows.count()
     graphs = index(rows, n)
-    shards = max(1, -(-n // SHARD))
-    left = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.select("vec_id", "embedding", vectors.block_of(m, QUERIES)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def run(graph: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(graph) and len(asked):
-            g = graph.iloc[0]
-            ids, starts = np.frombuffer(g["ids"], "<i8"), np.frombuffer(g["starts"], "<i4")
-            width = int(g["width"])
-            x = np.frombuffer(g["vecs"], "<f8").reshape(-1, width)
-            q = vectors.matrix(asked["embedding"], width)
-            extra = q.shape[1] - width  # a longer query meets 0 there
-            q = q[:, :width] if extra > 0 else q
-            nodes = [np.frombuffer(b, "<i4") for b in g["nodes"]]
-            links = [np.frombuffer(b, "<i4").reshape(-1, LINKS) for b in g["levels"]]
-            near, qf = x.astype(np.float32), q.astype(np.float32)
-            entry = np.full(len(q), nodes[-1][0])
-            for at in range(len(nodes) - 1, 0, -1):
-                place = np.searchsorted(nodes[at], entry)
-                best, _ = _beam(near[nodes[at]], links[at], qf, place, 8)
-                entry = nodes[at][best[:, 0]]
-            found, _ = _beam(near, links[0], qf, entry, min(max(beam, k + 1), max(len(x), 1)))
-            for row, own in enumerate(asked["vec_id"]):
-                hits = found[row][found[row] >= 0]
-                exact = x[hits] @ q[row]
-                order = np.lexsort((ids[starts[hits]], -exact))
-                for j in order[:k + 1]:  # one of them may be the query itself
-                    same = ids[starts[hits[j]]:starts[hits[j] + 1]]
-                    out += [(own, int(i), float(exact[j])) for i in same[same != own][:k]]
+        g = graph.iloc[0]
+        ids, starts = np.frombuffer(g["ids"], "<i8"), np.frombuffer(g["starts"], "<i4")
+        width = int(g["width"])
+        x = np.frombuffer(g["vecs"], "<f8").reshape(-1, width)
+        q = vectors.matrix(asked["embedding"], width)
+        extra = q.shape[1] - width  # a longer query meets 0 there
+        q = q[:, :width] if extra > 0 else q
+        nodes = [np.frombuffer(b, "<i4") for b in g["nodes"]]
+        links = [np.frombuffer(b, "<i4").reshape(-1, LINKS) for b in g["levels"]]
+        near, qf = x.astype(np.float32), q.astype(np.float32)
+        entry = np.full(len(q), nodes[-1][0])
+        for at in range(len(nodes) - 1, 0, -1):
+            place = np.searchsorted(nodes[at], entry)
+            best, _ = _beam(near[nodes[at]], links[at], qf, place, 8)
+            entry = nodes[at][best[:, 0]]
+        found, _ = _beam(near, links[0], qf, entry, min(max(beam, k + 1), max(len(x), 1)))
+        for row, own in enumerate(asked["vec_id"]):
+            hits = found[row][found[row] >= 0]
+            exact = x[hits] @ q[row]
+            order = np.lexsort((ids[starts[hits]], -exact))
+            for j in order[:k + 1]:  # one of them may be the query itself
+                same = ids[starts[hits[j]]:starts[hits[j] + 1]]
+                out += [(own, int(i), float(exact[j])) for i in same[same != own][:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(run, "query_id long, vec_id long, score double")
-    return vectors.merged(found, k)
+    shards = max(1, -(-n // SHARD))
+    return vectors.merged(vectors.answered(graphs, queries, shards, QUERIES, run, "query_id long, vec_id long, score double"), k)

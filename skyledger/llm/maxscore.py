@@ -63,24 +63,20 @@ def top_k(rows: DataFrame, is_query, k: int = 10, scale: int = 1024) -> DataFram
     whole = F.transform("embedding", lambda x: F.floor(x * scale).cast("long"))
     rows = rows.withColumn("embedding", whole)
     queries = rows.filter(is_query)
-    n, m = rows.count(), queries.count()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // QUERIES))
-    left = vectors.sharded(rows, n, SHARD).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.select("vec_id", "embedding", vectors.block_of(m, QUERIES)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    n = rows.count()
 
     def run(batch: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(batch) and len(asked):
-            width = max(max(map(len, batch["embedding"])), max(map(len, asked["embedding"])))
-            v, q = vectors.matrix(batch["embedding"], width), vectors.matrix(asked["embedding"], width)
-            if np.abs(v).max(initial=0) * np.abs(q).max(initial=0) * max(width, 1) * 4 >= 2.0**53:
-                fill = lambda s: np.array([[*x, *[0] * (width - len(x))] for x in s], np.int64)
-                v, q = fill(batch["embedding"]), fill(asked["embedding"])
-            postings, ids = np.ascontiguousarray(v.T), batch["vec_id"].to_numpy(np.int64)
-            for own, query in zip(asked["vec_id"], q, strict=True):
-                found, score = search(postings, ids, query, own, k) if width else (ids[ids != own][:k], np.zeros(min(k, (ids != own).sum())))
-                out += [(own, i, s) for i, s in zip(found.tolist(), score.astype(np.int64).tolist(), strict=True)]
+        width = max(max(map(len, batch["embedding"])), max(map(len, asked["embedding"])))
+        v, q = vectors.matrix(batch["embedding"], width), vectors.matrix(asked["embedding"], width)
+        if np.abs(v).max(initial=0) * np.abs(q).max(initial=0) * max(width, 1) * 4 >= 2.0**53:
+            fill = lambda s: np.array([[*x, *[0] * (width - len(x))] for x in s], np.int64)
+            v, q = fill(batch["embedding"]), fill(asked["embedding"])
+        postings, ids = np.ascontiguousarray(v.T), batch["vec_id"].to_numpy(np.int64)
+        for own, query in zip(asked["vec_id"], q, strict=True):
+            found, score = search(postings, ids, query, own, k) if width else (ids[ids != own][:k], np.zeros(min(k, (ids != own).sum())))
+            out += [(own, i, s) for i, s in zip(found.tolist(), score.astype(np.int64).tolist(), strict=True)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(run, "query_id long, vec_id long, score long")
-    return vectors.merged(found, k)
+    shards = max(1, -(-n // SHARD))
+    return vectors.merged(vectors.answered(vectors.sharded(rows, n, SHARD), queries, shards, QUERIES, run, "query_id long, vec_id long, score long"), k)

@@ -107,9 +107,27 @@ def test_graph_search_recall(spark):
     rows = hnsw.nearest(table, F.col("vec_id") % 20 == 0).collect()
     hits = sum((r["query_id"], r["vec_id"]) in {(q, i) for q, v in want.items() for _, i in v} for r in rows)
     assert len(rows) == sum(map(len, want.values())) and hits >= 0.95 * len(rows)
+    ranked = {}
+    for r in rows:  # the score of the very pair, nearest first, ties to the smaller id
+        assert r["query_id"] != r["vec_id"] and abs(r["score"] - sum(a * b for a, b in zip(good[r["query_id"]], good[r["vec_id"]], strict=False))) < 1e-9
+        ranked.setdefault(r["query_id"], {})[r["rank"]] = (-r["score"], r["vec_id"])
+    assert all(list(v) and [v[i] for i in range(1, len(v) + 1)] == sorted(v.values()) for v in ranked.values())
     assert hnsw.nearest(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_queries_are_streamed_past_the_shards(spark, monkeypatch):
+    table = spark.createDataFrame(vector_rows(), "vec_id long, embedding array<float>, rank int")
+    order = ["query_id", "rank"]
+    whole = maxscore.top_k(table, F.col("vec_id") % 3 == 0).orderBy(*order).collect()
+    near = hnsw.nearest(table, F.col("vec_id") % 3 == 0, beam=256).collect()
+    for module in (maxscore, hnsw):
+        monkeypatch.setattr(module, "SHARD", 90)
+        monkeypatch.setattr(module, "QUERIES", 7)
+    assert maxscore.top_k(table, F.col("vec_id") % 3 == 0).orderBy(*order).collect() == whole
+    again = {(r["query_id"], r["vec_id"]) for r in hnsw.nearest(table, F.col("vec_id") % 3 == 0, beam=256).collect()}
+    assert len(again & {(r["query_id"], r["vec_id"]) for r in near}) > 0.98 * len(near) and len(again) == len(near)
+
+
 def components_of(pairs: list, ids: list) -> dict:
     low = {i: i for i in ids}
     changed = True
