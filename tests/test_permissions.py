@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyledger.operators import escalation, graph, ranking
+from skyledger.session import cut_lineage
 from skyledger.sources import sinks, snapshots
 from tests import fixtures as fx
 
@@ -104,3 +105,38 @@ def test_paths_that_are_new(spark, ladders, tmp_path):
     (tmp_path / "auth").mkdir()
     _, old = loaded(spark, tmp_path / "auth", before)
     assert {r["principal"] for r in escalation.new_paths(old["paths"], g["paths"]).collect()} == {U("viktor")}
+
+
+def test_equal_principals_are_decided_once(spark, tmp_path):
+    read = fx.allow("s3:GetObject", "*")
+    some = {"Effect": "Allow", "Action": "s3:GetObject", "Resource": "*", "Condition": {"IpAddress": {"aws:SourceIp": "10.0.0.0/8"}}}
+    snapshot = {
+        "account": fx.ACC, "resources": [fx.bucket(f"vault{i}", "high") for i in range(6)],
+        "roles": [fx.post(f"box{i}", fx.trust(Service="ec2.amazonaws.com")) for i in range(4)]
+        + [fx.post("top", fx.trust(Service="ec2.amazonaws.com"), attached_managed_policies=[fx.POL + "everything"])],
+        "users": [fx.person(f"reader{i}", read) for i in range(8)] + [fx.person("later", some)]
+        + [fx.person(f"held{i}", read, permission_boundary=fx.POL + "only-logs") for i in range(3)]
+        + [fx.person(f"starter{i}", fx.allow("iam:PassRole", "*"), fx.allow("ec2:RunInstances", "*")) for i in range(7)],
+        "managed_policies": [{"arn": fx.POL + "everything", "name": "everything", "document": fx.doc(fx.allow("*", "*"))},
+                             {"arn": fx.POL + "only-logs", "name": "only-logs", "document": fx.doc(fx.allow("logs:*", "*"))}],
+    }
+    (tmp_path / "snapshot.json").write_text(json.dumps(snapshot))
+    tables = {n: cut_lineage(t) for n, t in snapshots.read_authorization(spark, str(tmp_path)).items()}
+    # a principal listed twice has its edges twice, as every reader of the tables does
+    tables["principal"] = cut_lineage(tables["principal"].unionByName(tables["principal"].filter(F.col("name") == "reader3")))
+    index = graph.statement_index(tables)
+    own, shared = escalation.escalation_parts(tables, index)
+    own = cut_lineage(own)
+    whole = cut_lineage(own.unionByName(escalation.expand(shared)))
+    # who may read without condition is one class, the role that may do all included; six resources a class, two rows each for the one listed twice
+    assert {r["kind"]: r["count"] for r in shared["edges"].groupBy("kind").count().collect()} == {"CAN_ACCESS": 24, "CAN_ESCALATE_VIA": 10}
+    access = {(r["src"], r["conditional"]): r["count"] for r in whole.filter("kind = 'CAN_ACCESS'").groupBy("src", "conditional").count().collect()}
+    assert access == {**{(U(f"reader{i}"), False): 12 if i == 3 else 6 for i in range(8)}, (U("later"), True): 6, (fx.arn("role", "top"), False): 6}
+    passed = {r["src"]: r["count"] for r in whole.filter("technique = 'PassRole:ec2'").groupBy("src").count().collect()}
+    assert passed == {**{U(f"starter{i}"): 5 for i in range(7)}, fx.arn("role", "top"): 5}
+    # one search over classes equals the search over all edges written out, for all goals and for the admin ones
+    held = graph.identity_statements(index)
+    for which in ({}, {"sensitive": False}):
+        goals = cut_lineage(escalation.goals(tables, held, **which))
+        rows = lambda p: sorted(str(r) for r in p.collect())
+        assert rows(escalation.shortest_paths(own, goals, shared)) == rows(escalation.shortest_paths(whole, goals))
