@@ -21,6 +21,11 @@ def _folder(w: Workspace, name: str) -> str:
     return f"{checkpoint_root(w.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _dealt(items: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by ``key`` to partitions of about the advised size, so that documents are more, not longer, on larger input."""
+    return items.hint("rebalance", F.col(key))
+
+
 def _normalised(raw: DataFrame) -> DataFrame:
     return normalise.normalise_audit(raw).select("event_id", "us", "account", "region", "event", "principal", "principal_type", "target", "src_ip", "mfa",
                                                  F.col("session.issuer_arn").alias("issuer_arn"), "read_only", "event_source", "bytes_transferred")
@@ -45,9 +50,9 @@ def _keep(name: str, sql: str):
 
 @_keep("S1_audit_files", _AUDIT_SQL)
 def s1(w):
-    """Two large delivery files, each cut into ranges."""
+    """Large delivery files, each cut into ranges; as many as the records need."""
     path = _folder(w, "delivery")
-    split_json.write_documents(_records(w).withColumn("section", F.lit("Records")).repartition(2, "seq"), path, ["seq"])
+    split_json.write_documents(_dealt(_records(w).withColumn("section", F.lit("Records")), "seq"), path, ["seq"])
     return _normalised(audit.read_audit_files(w.spark, path))
 
 
@@ -55,8 +60,8 @@ def s1(w):
 def s2(w):
     """Bare arrays and ``Findings`` documents side by side."""
     path, rows = _folder(w, "findings"), r.finding_json(w)
-    split_json.write_documents(rows.filter("seq % 2 = 0").withColumn("section", F.lit(None).cast("string")).repartition(2, "seq"), f"{path}/bare", ["seq"])
-    split_json.write_documents(rows.filter("seq % 2 = 1").withColumn("section", F.lit("Findings")).repartition(2, "seq"), f"{path}/keyed", ["seq"])
+    split_json.write_documents(rows.filter("seq % 2 = 0").withColumn("section", F.lit(None).cast("string")).transform(_dealt, "seq"), f"{path}/bare", ["seq"])
+    split_json.write_documents(rows.filter("seq % 2 = 1").withColumn("section", F.lit("Findings")).transform(_dealt, "seq"), f"{path}/keyed", ["seq"])
     return normalise.normalise_findings(audit.read_finding_files(w.spark, path)).select(
         "event_id", "us", "event", "principal", "principal_type", "src_ip", "asn", "geo", "severity")
 

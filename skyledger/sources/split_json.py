@@ -26,6 +26,9 @@ from skyledger.session import cut_lineage
 
 #: Bytes asked of a stream at once, and bytes of text per slice of one object.
 PIECE, SLICE_BYTES = 1 << 20, 1 << 26
+#: Fragments of a file per slice, as a power of two: the windows hold one slice at a time, whatever the range of a task.
+SLICE_BITS = 16
+_ROW_BITS = 33  # rows of one task in monotonically_increasing_id
 _ROWS = 4096
 FRAGMENT = f"path string, {SLICE} long, i long, value string"
 #: Text outside of objects: anything up to the first brace that stands outside of a string.
@@ -34,9 +37,14 @@ _KEY = r'"((?:[^"\\]|\\.)*)"\s*:\s*\[?\s*$'
 
 
 def file_fragments(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Fragments of the files below ``path``, plain ones in ranges; the codec follows from the name."""
+    """Fragments of the files below ``path``, plain ones in ranges; the codec follows from the name.
+
+    A slice is a block of the task's rows inside a range: ranges by their start, blocks by the number of the row in its task.
+    """
     text = spark.read.option("lineSep", "}").option("recursiveFileLookup", True).text(path)
-    return text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias(SLICE), F.monotonically_increasing_id().alias("i"), "value")
+    rows = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("i"), "value")
+    block = F.shiftright(F.col("i").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)), SLICE_BITS)
+    return rows.select("path", (F.shiftleft("start", _ROW_BITS - SLICE_BITS) + block).alias(SLICE), "i", "value")
 
 
 def _absolute(uri: str) -> str:
@@ -137,7 +145,8 @@ def split_objects(fragments: DataFrame) -> DataFrame:
     that is cut short gives the objects that are whole.
     """
     pieces = F.split(F.regexp_replace("value", r"(?s)\\.", ""), '"')
-    rows = cut_lineage(fragments).withColumn("_pieces", pieces).select(
+    fragments = cut_lineage(fragments)
+    rows = fragments.withColumn("_pieces", pieces).select(
         "path", SLICE, "i", "value", ((F.size("_pieces") - 1) % 2).cast("long").alias("quotes"),
         _opened(lambda x, j: j % 2 == 0).alias("opened0"), _opened(lambda x, j: j % 2 == 1).alias("opened1"))
     rows = _running(rows, "quoted", F.col("quotes")).withColumn("quoted", F.col("quoted") % 2)
@@ -147,7 +156,7 @@ def split_objects(fragments: DataFrame) -> DataFrame:
     # depth of the lists: 0 in a bare list, 1 below the keys of an object; told by the first fragment of the file
     head = F.when(F.ltrim(F.translate("value", "﻿\n\r\t", " ")).startswith("["), 0).otherwise(1)
     first = F.min(F.struct(SLICE, "i", head.alias("root")))
-    roots = rows.groupBy("path").agg(first.alias("f")).select("path", F.col("f.root").alias("root"))
+    roots = fragments.groupBy("path").agg(first.alias("f")).select("path", F.col("f.root").alias("root"))
     rows = rows.join(roots, "path").withColumn("closes", (F.col("ends") & (F.col("after") == F.col("root"))).cast("long"))
     rows = _running(rows, "no", F.col("closes"))
     # the text after the outer object closed is not part of an object
@@ -158,7 +167,8 @@ def split_objects(fragments: DataFrame) -> DataFrame:
     whole = whole.withColumn("text", text).withColumn("outside", F.when(outer == "", F.regexp_extract("text", "(?s)^" + _OUTSIDE, 0))
                                                       .otherwise(F.regexp_extract("text", "(?s)^" + _OUTSIDE + r"\{" + _OUTSIDE, 0)))
     item = F.when(F.col("closes") == 1, F.expr("substring(text, length(outside) + 1)"))
-    whole = whole.select("path", "no", SLICE, "outside", F.when(item.startswith("{"), item).alias("item"))
+    # read twice by the scan below; written, so that the scans above run once
+    whole = cut_lineage(whole.select("path", "no", SLICE, "outside", F.when(item.startswith("{"), item).alias("item")))
     key = F.when(F.col("outside").rlike(_KEY), F.struct(F.regexp_extract("outside", _KEY, 1).alias("section"), F.col("no").alias("start")))
     named = carry_scan(whole.withColumn("_key", key), ["path"], ["no"],
                        local={"_near": lambda w: F.last("_key", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))},
