@@ -170,8 +170,12 @@ def _policy_json(statements: DataFrame, keys: list[str]) -> DataFrame:
     return each.groupBy(*keys, "policy_ord").agg(F.concat(F.lit('{"Statement":['), body, F.lit("]}")).alias("doc"))
 
 
+#: Entities of a snapshot document, about; a small snapshot is four documents.
+DOCUMENT_ROWS = 100_000
+
+
 def authorization_documents(w: Workspace, path: str) -> None:
-    """The permission tables as snapshot documents of one account, as many as the rows need."""
+    """The permission tables as snapshot documents of one account, more, not longer, on larger input."""
     t = w.permissions
     listed = lambda df, value: df.groupBy("principal").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", value))), lambda x: x[value])).alias(value))
     inline = _policy_json(t["statement"].filter("owner_kind = 'principal'"), ["owner", "policy_name"])
@@ -194,7 +198,8 @@ def authorization_documents(w: Workspace, path: str) -> None:
     things = t["resource"].join(own, "arn", "left").select(F.lit("resources").alias("section"), "ordinal", F.concat(F.concat_ws(
         "", F.concat(F.lit('{"arn":'), _quoted(F.col("arn")), F.lit(',"type":"'), "rtype", F.lit('","tags":{"Sensitivity":"'), "sensitivity", F.lit('"}')), field("resource_policy", F.col("doc"))), F.lit("}")).alias("item"))
     rows = people.unionByName(policies).unionByName(things)
-    split_json.write_documents(_dealt(rows, "ordinal"), path, ["section", "ordinal"], head=f'"account": "{r.ACCOUNT}"')
+    files = max(4, sum(t[n].count() for n in ("principal", "policy", "resource")) // DOCUMENT_ROWS)
+    split_json.write_documents(rows.repartition(files, "ordinal"), path, ["section", "ordinal"], head=f'"account": "{r.ACCOUNT}"')
 
 
 def _snapshot(w: Workspace) -> dict[str, DataFrame]:

@@ -51,15 +51,9 @@ def test_permission_tables_are_made_when_asked_for(w):
         w.permissions["nothing"]
 
 
-def test_snapshot_documents_are_more_not_longer_on_larger_input(spark, w, tmp_path):
-    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1KB")
-    spark.conf.set("spark.sql.shuffle.partitions", "16")
-    try:
-        registry_sources.authorization_documents(w, f"{tmp_path}/docs")
-    finally:
-        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+def test_snapshot_documents_are_more_not_longer_on_larger_input(w, tmp_path, monkeypatch):
+    monkeypatch.setattr(registry_sources, "DOCUMENT_ROWS", 10)
+    registry_sources.authorization_documents(w, f"{tmp_path}/docs")
     docs = [json.loads(f.read_text()) for f in (tmp_path / "docs").glob("part-*") if f.stat().st_size]
     assert len(docs) > 4
     found = sorted(x["arn"] for d in docs for x in d.get("users", []) + d.get("roles", []) + d.get("groups", []))
