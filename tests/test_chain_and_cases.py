@@ -133,3 +133,17 @@ def test_components_equal_pairwise_links_even_with_a_hot_address(spark):
     for r in cases.assign_components(df).collect():
         got.setdefault(r["component"], set()).add(r["det_id"])
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_ordered_passes_start_from_written_rows(spark, monkeypatch):
+    """A pass reads its input twice, so what it starts from must not be a join or an aggregate that runs again."""
+    past, stream = story(spark)
+    found, plans = cases.run_detection(stream, past), {}
+
+    def seen(name, fn):
+        return lambda df, *a, **k: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and fn(df, *a, **k)
+
+    for name in ("with_previous", "with_latest", "with_running_sum"):
+        monkeypatch.setattr(chain, name, seen(name, getattr(chain, name)))
+    assert chain.reconstruct(found, stream)["step"].count() == 6
+    assert len(plans) == 3 and not any(op in plan for plan in plans.values() for op in ("Join", "Aggregate", "Window"))
