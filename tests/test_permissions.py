@@ -140,3 +140,55 @@ def test_equal_principals_are_decided_once(spark, tmp_path):
         goals = cut_lineage(escalation.goals(tables, held, **which))
         rows = lambda p: sorted(str(r) for r in p.collect())
         assert rows(escalation.shortest_paths(own, goals, shared)) == rows(escalation.shortest_paths(whole, goals))
+
+
+def test_equal_resources_are_decided_once(spark, tmp_path, monkeypatch):
+    """Resources that match the same patterns take one decision per class of principals, and keep an edge each."""
+    snapshot = {
+        "account": fx.ACC, "resources": [fx.bucket(f"vault{i}", "high") for i in range(9)] + [fx.bucket(f"open{i}", "high") for i in range(3)], "roles": [],
+        "users": [fx.person(f"reader{i}", fx.allow("s3:GetObject", fx.S3 + "vault*")) for i in range(4)] + [fx.person("one", fx.allow("s3:GetObject", fx.S3 + "vault7/*"))],
+        "managed_policies": [],
+    }
+    (tmp_path / "snapshot.json").write_text(json.dumps(snapshot))
+    tables = {n: cut_lineage(t) for n, t in snapshots.read_authorization(spark, str(tmp_path)).items()}
+    asked = []
+    decide = graph.decide
+    monkeypatch.setattr(escalation, "decide", lambda probes, *rest, **more: asked.append(probes.filter("action = 's3:GetObject'").distinct().count()) or decide(probes, *rest, **more))
+    own, shared = escalation.escalation_parts(tables, graph.statement_index(tables))
+    # vault7, the other vaults and the open ones are three classes; two classes of readers meet what their patterns reach
+    assert asked[0] == 3
+    edges = {(r["src"], r["dst"]) for r in escalation.expand(shared).collect()}
+    vault = lambda i: fx.S3 + f"vault{i}"
+    assert edges == {(U(f"reader{i}"), vault(k)) for i in range(4) for k in range(9)} | {(U("one"), vault(7))}
+
+
+def test_one_sweep_serves_both_aims(spark, ladders, monkeypatch):
+    """Admin and sensitive paths of the blast radius come from the rounds of one search, and equal two searches."""
+    tables, g = ladders
+    calls = []
+    search = escalation.shortest_paths
+    monkeypatch.setattr(ranking, "shortest_paths", lambda *a, **k: calls.append(1) or search(*a, **k))
+    blast = {r["principal"]: r for r in ranking.blast_radius(tables, g).collect()}
+    assert len(calls) == 1
+    held = graph.identity_statements(g["index"])
+    for name, which in (("admin_path", {"sensitive": False}), ("sensitive_path", {"admin": False})):
+        alone = {r["node"]: r for r in search(g["edges"], escalation.goals(tables, held, **which)).collect()}
+        for who, row in blast.items():
+            assert (row[name] is None) == (who not in alone)
+            if row[name]:
+                assert (row[name]["target"], row[name]["hops"]) == (alone[who]["target"], alone[who]["hops"])
+
+
+def test_long_ladders_outlast_the_trims(spark):
+    """A chain of 12 roles is walked to its end for both aims although edges already used are dropped on the way."""
+    node = lambda i: f"n{i:02d}"
+    rows = [("CAN_ESCALATE_VIA", node(i + 1), node(i), [3, i, 0, 0, 0], None, None, "AssumeRole", "T1548", False, None) for i in range(12)]
+    rows += [("CAN_ESCALATE_VIA", node(20 + i), node(6), [3, 40 + i, 0, 0, 0], None, None, "AssumeRole", "T1548", False, None) for i in range(3)]
+    edges = spark.createDataFrame(rows, graph.EDGE)
+    class_edges = spark.createDataFrame([("CAN_ESCALATE_VIA", "pass|a", node(9), [2, 0, 0, 0, 0], None, None, "PassRole:ec2", "T1548", False, None)], graph.EDGE)
+    shared = {"edges": class_edges, "member": spark.createDataFrame([("late", "pass|a"), (node(3), "pass|a")], "principal STRING, cls STRING")}
+    targets = spark.createDataFrame([(node(0), "admin-equivalent", "admin"), (node(4), "sensitive-resource:high", "sensitive")], "node STRING, target_priv STRING, aim STRING")
+    got = {(r["aim"], r["node"]): len(r["hops"]) for r in escalation.shortest_paths(edges, targets, shared).collect()}
+    want = {("admin", node(i)): i for i in range(13)} | {("admin", node(20 + i)): 7 for i in range(3)} | {("admin", "late"): 10}
+    want |= {("sensitive", node(i)): i - 4 for i in range(4, 13)} | {("sensitive", node(20 + i)): 3 for i in range(3)} | {("sensitive", "late"): 6, ("sensitive", node(3)): 6}
+    assert got == want
