@@ -192,3 +192,19 @@ def test_long_ladders_outlast_the_trims(spark):
     want = {("admin", node(i)): i for i in range(13)} | {("admin", node(20 + i)): 7 for i in range(3)} | {("admin", "late"): 10}
     want |= {("sensitive", node(i)): i - 4 for i in range(4, 13)} | {("sensitive", node(20 + i)): 3 for i in range(3)} | {("sensitive", "late"): 6, ("sensitive", node(3)): 6}
     assert got == want
+
+
+@pytest.mark.parametrize("widest", [graph.WIDEST, 0])
+def test_ring_of_roles_is_closed_in_few_rounds(spark, monkeypatch, widest):
+    """40 roles in a ring, a leaf on every tenth, a side chain: doubled steps need few rounds, single hops give the same pairs."""
+    n = 40
+    edge = [(f"r{i}", f"r{(i + 1) % n}") for i in range(n)] + [(f"u{i}", f"r{i}") for i in range(0, n, 10)] + [("x2", "x1"), ("x1", "x0"), ("u0", "x2"), ("u0", "x0")]
+    edges = spark.createDataFrame(edge, "src STRING, dst STRING").withColumn("kind", F.lit("CAN_ASSUME"))
+    roles = spark.createDataFrame([("r0",), ("r5",), ("x0",), ("nobody",)], "role STRING")
+    writes, cut = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df, **o: writes.append(1) or cut(df, **o))
+    monkeypatch.setattr(graph, "WIDEST", widest)
+    got = sorted((r["assumer"], r["role"]) for r in graph.assumers(roles, edges).collect())
+    ring = [f"r{i}" for i in range(n)] + [f"u{i}" for i in range(0, n, 10)]
+    assert got == sorted([(a, r) for r in ("r0", "r5") for a in ring] + [(a, "x0") for a in ("x1", "x2", "u0")])
+    assert widest == 0 or len(writes) < 20
